@@ -94,6 +94,25 @@ def run_hashes(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         return mix(np.add.reduceat(x, bounds[:-1]) + lengths.astype(np.uint64))
 
 
+def start_hashes(data: np.ndarray, bounds: np.ndarray, sizes: list[int]) -> list[np.ndarray]:
+    """Like run_hashes, of the first n bytes of each run, for each n of the ascending ``sizes``; of the whole run for 0."""
+    if len(bounds) < 2:
+        return [np.zeros(0, np.uint64)] * len(sizes)
+    lengths = np.diff(bounds)
+    places = _places(int(lengths.max()))
+    at = np.arange(len(data), dtype=np.int32)
+    at -= np.repeat(bounds[:-1].astype(np.int32), lengths)
+    out = []
+    with np.errstate(over="ignore"):
+        x = _BYTE[data]
+        x *= places[at]
+        for n in sorted(sizes, key=lambda n: -(n or 1 << 30)):
+            if n:
+                x[at >= n] = 0
+            out.append(mix(np.add.reduceat(x, bounds[:-1]) + (np.uint64(n << 40) if n else lengths.astype(np.uint64))))
+    return [out[k] for k in np.argsort(np.argsort([-(n or 1 << 30) for n in sizes]))]
+
+
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Indexes starts[k], starts[k] + 1, ... (lengths[k] of them) for each k, one after the other."""
     ends = np.cumsum(lengths)
