@@ -37,13 +37,13 @@ def rates(docs: DataFrame, weights: dict[str, float] | None = None) -> DataFrame
     else:
         sizes = sizes.withColumn("weight", F.coalesce(*(F.when(F.col("source_") == k, F.lit(float(v))) for k, v in weights.items()), F.lit(0.0)))
     sizes = written(sizes)
-    total = sizes.agg(F.sum("size").alias("all_size"), F.sum("weight").alias("all_weight"))
-    rate = F.when(F.col("size") == 0, 1.0).otherwise(F.col("all_size") * F.col("weight") / F.col("all_weight") / F.col("size"))
+    total = sizes.agg(F.sum("size").alias("size"), F.sum("weight").alias("weight")).first()  # two numbers
+    rate = F.when(F.col("size") == 0, 1.0).otherwise(F.lit(total["size"]) * F.col("weight") / F.lit(total["weight"] or 1.0) / F.col("size"))
     steps = F.sequence(F.lit(1), F.ceil(F.col("rate") + 12 * F.sqrt("rate") + 30).cast("int"))
     log_p = lambda s, k: s["log_p"] + F.log(F.col("rate") / k)
     start = F.struct((-F.col("rate")).alias("log_p"), F.array(F.exp(-F.col("rate"))).alias("cdf"))
     fold = F.aggregate(steps, start, lambda s, k: F.struct(log_p(s, k).alias("log_p"), F.concat(s["cdf"], F.array(F.element_at(s["cdf"], -1) + F.exp(log_p(s, k)))).alias("cdf")))
-    table = sizes.join(F.broadcast(total)).select("source_", rate.alias("rate"))  # total is one row
+    table = sizes.select("source_", rate.alias("rate"))
     return written(table.select("source_", "rate", F.when(F.col("rate") > 0, fold["cdf"]).otherwise(F.array(F.lit(1.0))).alias("cdf")))
 
 
