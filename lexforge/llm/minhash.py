@@ -239,7 +239,7 @@ def _confirmed(docs: DataFrame, classes: DataFrame, clusters: DataFrame, thresho
     members = written(classes.join(clusters, "k1"))
     sizes = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("docs"), F.sum("n_shingles").alias("shingles"))
     sizes = written(sizes.select("cluster", F.greatest(F.ceil(F.col("docs") / BLOCK_DOCS), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks")))
-    ids = bounded(members.select(F.col("doc").alias("rep")).distinct(), BROADCAST_IDS)
+    ids = bounded(written(members.select(F.col("doc").alias("rep")).distinct()), BROADCAST_IDS)
     texts = docs.join(ids, docs.doc_id.eqNullSafe(ids.rep), "left_semi").select("text")
     sets = written(texts.mapInArrow(_sets, "k1 bigint, k2 bigint, elements binary").dropDuplicates(["k1", "k2"]))
     where = members.join(bounded(sizes), "cluster").select("k1", "k2", "cluster", "blocks", F.pmod(F.col("k2"), F.col("blocks")).cast("int").alias("block"))
@@ -256,7 +256,7 @@ def deduplicated(docs: DataFrame, threshold: int = 80) -> DataFrame:
     marked = written(near_duplicates(docs, threshold).select("doc_id", "text_key", "kept"))
     same = lambda d, x: d.doc_id.eqNullSafe(x.id_) & F.xxhash64(d.text).eqNullSafe(x.key_)
     keys = lambda x: x.select(F.col("doc_id").alias("id_"), F.col("text_key").alias("key_")).distinct()
-    gone = bounded(keys(marked.where("not kept")), BROADCAST_IDS)
+    gone = bounded(written(keys(marked.where("not kept"))), BROADCAST_IDS)
     left = docs.join(gone, same(docs, gone), "left_anti")
     repeated = written(keys(marked.where("kept").groupBy("doc_id", "text_key").count().where("count > 1")))
     if repeated.isEmpty():

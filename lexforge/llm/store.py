@@ -36,7 +36,7 @@ def written(df: DataFrame) -> DataFrame:
 
 def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """A written small table, with a broadcast hint if and only if its counted rows are within ``rows``."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    return F.broadcast(df) if df.count() <= rows else df
 
 
 def filesystem(uri: str):
