@@ -1,0 +1 @@
+"""No streaming operators: archives are compiled from whole inputs in one batch, and nothing here is open-ended."""
