@@ -1,0 +1,65 @@
+"""The pipeline's stages, each held against what its input asks for."""
+
+import corpus_pipeline as pipeline
+import pytest
+from test_operators import sets_of
+
+FOLDER = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def stages(spark):
+    from lexforge.llm.store import written
+
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    out = [docs]
+    for _, f in pipeline.STAGES:
+        out.append(written(f(spark, out[-1], FOLDER)))
+    return out
+
+
+def ids(df):
+    return sorted(r.doc_id for r in df.select("doc_id").collect())
+
+
+def test_columns_and_order(stages):
+    assert [n for n, _ in pipeline.STAGES] == ["toxicity", "language ID", "MinHash near-dedup", "source mixing", "BPE encoding and decoding"]
+    for df in stages[:5]:
+        assert df.columns == pipeline.COLUMNS
+
+
+def test_filters_keep_clean_documents(stages, spark):
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{FOLDER}/labels.parquet").collect()}
+    gone = set(ids(stages[0])) - set(ids(stages[1]))
+    assert all(labels.get(i, 1) for i in gone)
+    assert ids(stages[2]) == ids(stages[1])  # all have letters and one of four languages
+
+
+def test_one_of_each_group_stays(stages):
+    before = {r.doc_id: sets_of(r.text) for r in stages[2].collect()}
+    kept = set(ids(stages[3]))
+    near = lambda a, b: a and 100 * len(a & b) >= 80 * len(a | b)
+    for i in kept:
+        assert not any(j != i and near(before[i], before[j]) for j in kept)
+    for i in set(before) - kept:
+        assert any(j != i and near(before[i], before[j]) for j in before)
+
+
+def test_mixing_and_ids(stages):
+    from tokenizers import Tokenizer
+
+    from lexforge.llm.queries import tokenizer
+
+    mixed = {}
+    for r in stages[4].collect():
+        mixed.setdefault(r.doc_id, []).append(r.text)
+    assert set(mixed) <= set(ids(stages[3]))
+    library = Tokenizer.from_file(tokenizer("word_bpe_49k.json"))
+    rows = stages[5].collect()
+    assert len(rows) == sum(map(len, mixed.values()))
+    for r in rows:
+        assert r.ids == library.encode(mixed[r.doc_id][0], add_special_tokens=False).ids
+
+
+def test_run(spark):
+    assert "ids" in pipeline.run(spark, FOLDER).columns
