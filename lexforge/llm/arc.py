@@ -120,7 +120,7 @@ def convert(record: ArcRecord, refers_to: tuple[str, str] | None = None) -> Warc
     f, block = record.fields, record.block
     http, payload = http_parts(block)
     date = timestamp(f["date"])
-    kind = "warcinfo" if f["url"].startswith("filedesc:") else "response" if http and f["url"].startswith("http") else "resource"
+    kind = "warcinfo" if f["url"].startswith("filedesc:") else "response" if http else "resource"
     digest = hashlib.sha256(payload).hexdigest()
     headers = {"WARC-Type": "revisit" if refers_to else kind, "WARC-Record-ID": record_id(f["url"], date, hashlib.sha256(block).hexdigest()), "WARC-Date": date}
     if kind == "warcinfo":
