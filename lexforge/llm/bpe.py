@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 
 from lexforge.llm import flat
 from lexforge.llm.pieces import CLASSES, DIGIT, LOWER, PieceTable, contractions, plain
+from lexforge.llm.store import in_batches
 
 # Fixed values of the vocabulary's file: white space, and the pattern of pieces.
 _WHITE = "".join(map(chr, [*range(9, 14), 32, 133, 160, 5760, *range(8192, 8203), 8232, 8233, 8239, 8287, 12288]))
@@ -208,13 +209,13 @@ def encoded(docs: DataFrame, path: str) -> DataFrame:
     """The columns of ``docs`` other than text, ids and n_tokens, then ids (array of int) and n_tokens of the text."""
     others = [c for c in docs.columns if c not in ("text", "ids", "n_tokens")]
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in others)
-    return docs.select(*others, "text").mapInArrow(_encoded(path, others, False), f"{kinds}, ids array<int>, n_tokens bigint")
+    return in_batches(docs.select(*others, "text")).mapInArrow(_encoded(path, others, False), f"{kinds}, ids array<int>, n_tokens bigint")
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256): the ids of each text, and the text decoded from these ids."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(_encoded(path, ["doc_id"], True), f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return in_batches(docs.select("doc_id", "text")).mapInArrow(_encoded(path, ["doc_id"], True), f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
 
 
 def decoded(rows: DataFrame, path: str) -> DataFrame:
@@ -228,4 +229,4 @@ def decoded(rows: DataFrame, path: str) -> DataFrame:
             texts = [None if x is None else bpe.decode(x).decode() for x in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in others), pa.array(texts, pa.string())], [*others, "text"])
 
-    return rows.select(*others, "ids").mapInArrow(run, f"{kinds}text string")
+    return in_batches(rows.select(*others, "ids")).mapInArrow(run, f"{kinds}text string")

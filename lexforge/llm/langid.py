@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexforge.llm import flat
+from lexforge.llm.store import in_batches
 
 #: Longest n-gram.
 LONGEST = 5
@@ -149,7 +150,7 @@ def train(docs: DataFrame, max_docs: int = MAX_DOCS, max_words: int = MAX_WORDS)
     place = F.pmod(F.xxhash64("text"), F.lit(1 << 20))  # every copy of a text is in or out
     share = F.create_map(*(x for k, v in shares.items() for x in (F.lit(k), F.lit(float(min(1.0, v) * (1 << 20))))))
     sample = rows.where(place < share[F.col("lang")])
-    times = sample.mapInArrow(_count, "lang string, n int, hash bigint, times bigint").groupBy("n", "hash", "lang").agg(F.sum("times").alias("times"))
+    times = in_batches(sample).mapInArrow(_count, "lang string, n int, hash bigint, times bigint").groupBy("n", "hash", "lang").agg(F.sum("times").alias("times"))
     langs = sorted(shares)
     wide = times.groupBy("n", "hash").agg(*(F.sum(F.when(F.col("lang") == x, F.col("times")).otherwise(0)).alias(f"c{k}") for k, x in enumerate(langs)), F.sum("times").alias("total"))
     tables = []
@@ -186,7 +187,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, j - i) for c in others), pa.array(names[pick], pa.string()), pa.array(score)], [*others, "lang_pred", "score"])
 
     ready = docs.select(*others, F.lower("text").alias("lowered_text_"), F.col("text").rlike(r"\p{L}").alias("has_letter_"))
-    return ready.mapInArrow(run, f"{kinds}{', ' if kinds else ''}lang_pred string, score double")
+    return in_batches(ready).mapInArrow(run, f"{kinds}{', ' if kinds else ''}lang_pred string, score double")
 
 
 def held_out(doc_id: str = "doc_id"):

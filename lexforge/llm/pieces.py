@@ -73,10 +73,10 @@ class PieceTable:
             first = np.empty(len(unique), np.int64)
             first[codes[::-1]] = np.arange(len(codes))[::-1]
             ids, lengths = new(first[~known])
-            keys = np.concatenate([self.keys, unique[~known]])
-            starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(lengths) - lengths])
-            order = np.argsort(keys)
-            self.keys, self.starts, self.lengths = keys[order], starts[order], np.concatenate([self.lengths, lengths])[order]
+            fresh, starts = unique[~known], len(self.ids) + np.cumsum(lengths) - lengths
+            order = np.argsort(fresh)
+            at = np.searchsorted(self.keys, fresh[order])
+            self.keys, self.starts, self.lengths = (np.insert(old, at, own[order]) for old, own in ((self.keys, fresh), (self.starts, starts), (self.lengths, lengths)))
             self.ids = np.concatenate([self.ids, ids.astype(np.int32)])
         at = np.searchsorted(self.keys, unique)
         lengths = self.lengths[at][codes]

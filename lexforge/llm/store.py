@@ -34,6 +34,21 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows and bytes of the batches in which texts go to Python; Spark's default of 10,000 rows holds tens of MB of texts, in
+#: several copies, in each task.
+BATCH_ROWS, BATCH_BYTES = 1_000, 4 << 20
+
+
+def in_batches(df: DataFrame) -> DataFrame:
+    """``df``, in a session whose Arrow batches are small; smaller settings stay as they are."""
+    conf = df.sparkSession.conf
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = conf.get(key, None)
+        if now is None or not now.isdigit() or not 0 < int(now) <= most:
+            conf.set(key, str(most))
+    return df
+
+
 def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """A written small table, with a broadcast hint if and only if its counted rows are within ``rows``."""
     return F.broadcast(df) if df.count() <= rows else df

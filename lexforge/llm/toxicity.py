@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexforge.llm import flat
-from lexforge.llm.store import written
+from lexforge.llm.store import in_batches, written
 
 CATEGORIES = ("low_quality", "toxic", "severe")
 MAX_ROWS, MAX_WORDS, MIN_GAIN, FOLDS, SEVERE_WORDS = 12_000, 400, 30.0, 5, 5
@@ -144,7 +144,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Chain
     place = F.pmod(F.xxhash64("id_"), F.lit(1 << 20))
     chosen = kinds.where(place < int(min(1.0, max_rows / max(n, 1)) * (1 << 20))).withColumn("fold", (F.crc32(F.col("id_").cast("string").cast("binary")) % FOLDS).cast("int"))
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("id_")).select(F.coalesce("text", F.lit("")).alias("text"), "bad", "toxic", "fold")
-    sample = written(rows.mapInArrow(_words, "text string, bad int, toxic int, fold int, words array<bigint>"))
+    sample = written(in_batches(rows).mapInArrow(_words, "text string, bad int, toxic int, fold int, words array<bigint>"))
     total = sample.agg(F.count(F.lit(1)).alias("n"), F.sum("bad").alias("bad"), F.sum("toxic").alias("toxic")).first()
     if not total.n:
         return Chain(np.zeros(0, np.uint64), [np.array([0.0, *[0.0] * k, -40.0]) for k in range(len(CATEGORIES))])
@@ -180,4 +180,4 @@ def score(docs: DataFrame, chain: Chain) -> DataFrame:
                 toxic = (p[:, CATEGORIES.index("toxic")] >= CUT) & (np.diff(offsets[i : j + 1]) > 0)
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, j - i) for c in others), *(pa.array(np.ascontiguousarray(c)) for c in p.T), pa.array(toxic)], [*others, *new])
 
-    return docs.select(*others, F.col("text").alias("text_")).mapInArrow(run, f"{kinds}{', ' if kinds else ''}p_low_quality double, p_toxic double, p_severe double, is_toxic boolean")
+    return in_batches(docs.select(*others, F.col("text").alias("text_"))).mapInArrow(run, f"{kinds}{', ' if kinds else ''}p_low_quality double, p_toxic double, p_severe double, is_toxic boolean")
