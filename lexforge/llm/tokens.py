@@ -14,7 +14,7 @@ and renamed, so a task that runs again leaves the same whole file.
 Pieces are encoded once by the tokenizers library and then taken from a bounded table. That gives what the library gives
 for whole texts, as the vocabulary's merges never cross pieces; texts beyond ASCII and Latin-1 letters, or with the form
 of a special token, go to the library whole. Null and empty texts have the end id alone. Null doc_ids come first; rows
-with one doc_id are in the order of their texts. Other columns are not read.
+with one doc_id are in the order of a hash of their texts. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -109,7 +109,9 @@ def write(docs: DataFrame, path: str, folder: str, end: int) -> int:
     its parts."""
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = docs.selectExpr("cast(doc_id as bigint) as doc_id", "text").repartitionByRange(parts, "doc_id", "text").sortWithinPartitions("doc_id", "text")
+    # the ranges' bounds are sampled keys, which go to the driver: a hash of the text stands for it there
+    keyed = docs.selectExpr("cast(doc_id as bigint) as doc_id", "text", "xxhash64(text) as h")
+    ordered = keyed.repartitionByRange(parts, "doc_id", "h").sortWithinPartitions("doc_id", "h", "text").select("doc_id", "text")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part = load(path), TaskContext.get().partitionId()
