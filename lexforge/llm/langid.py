@@ -9,6 +9,12 @@ Training takes up to ``max_docs`` documents of each language, chosen by a hash o
 ``max_words`` words and n-grams of each length; both bounds are parameters. The tables, a few MB, go to the executors as a
 Spark broadcast.
 
+The score grows with a text's length whatever its language, so it does not tell that a language is unknown; nor do mean log
+odds a word, which are as large for Polish as for texts of the training languages. Familiarity does: the mean over words
+of 1 for a word that training has seen, otherwise the share of its n-grams of FAMILIAR characters that training has seen. Runs of letters beside a digit are parts
+of codes and keys, not words, and don't count unless there is nothing else.
+``cuts`` sets, from training documents, how familiar a text of each language must be.
+
 A null text, or one without a letter, is ``und`` with score 0. So is every text if training had no rows. lang, source
 and doc_id are no inputs of a prediction. Repeated rows get a row each; other columns are not read.
 """
@@ -30,10 +36,15 @@ from lexforge.llm.store import in_batches
 LONGEST = 5
 #: Documents that training takes of each language, and words or n-grams of one length that it keeps.
 MAX_DOCS, MAX_WORDS = 4_000, 100_000
+#: Lengths of the n-grams that count for familiarity; shorter ones are known in any language of the same script.
+FAMILIAR = (3, 4, 5)
+#: Documents of each language from which cuts are set, and the most that a cut may be of the language's own familiarity.
+CUT_DOCS, MOST = 200, 2 / 3
 #: Added to each count.
 SMOOTH = 0.5
 UNKNOWN = "und"
 
+_DIGIT = flat.byte_table(b"0123456789")
 _GRAM = flat.numbers(LONGEST, 11) | np.uint64(1)
 
 
@@ -67,10 +78,12 @@ def grams(words: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
 
 
 class Model:
-    """Languages and, for words (0) and n-grams of 1 to LONGEST characters, sorted hashes and their log frequencies."""
+    """Languages and, for words (0) and n-grams of 1 to LONGEST characters, sorted hashes and their log frequencies; also
+    in which languages each was seen (in all, if not given)."""
 
-    def __init__(self, langs: list[str], tables: list[tuple[np.ndarray, np.ndarray]]):
+    def __init__(self, langs: list[str], tables: list[tuple[np.ndarray, np.ndarray]], seen: list[np.ndarray] | None = None):
         self.langs, self.tables = langs, tables
+        self.seen = [np.ones(logs.shape, bool) for _, logs in tables] if seen is None else seen
 
     def find(self, n: int, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         keys, _ = self.tables[n]
@@ -79,11 +92,32 @@ class Model:
         at = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
         return at, keys[at] == hashes
 
-    def unseen(self, words: list[bytes]) -> np.ndarray:
+    def known(self, n: int, hashes: np.ndarray, apart: int | None = None) -> np.ndarray:
+        """Whether training has seen them, in a language other than number ``apart`` if given."""
+        at, known = self.find(n, hashes)
+        if apart is not None and len(self.seen[n]):
+            known = known & np.delete(self.seen[n], apart, 1).any(1)[at]
+        return known
+
+    def likeness(self, found: list[tuple[np.ndarray, np.ndarray]], n_words: int, apart: int | None = None) -> np.ndarray:
+        """The shares of words' n-grams (of ``grams``) that are known, as means over the lengths of FAMILIAR that a word has."""
+        total, lengths = np.zeros(n_words), np.zeros(n_words)
+        for n in FAMILIAR:
+            hashes, word = found[n - 1]
+            times = np.bincount(word, minlength=n_words)
+            total += np.bincount(word, self.known(n, hashes, apart), n_words) / np.maximum(times, 1)
+            lengths += times > 0
+        return total / np.maximum(lengths, 1)
+
+    def familiarity(self, data: np.ndarray, offsets: np.ndarray, apart: int | None = None) -> np.ndarray:
+        """The means of the words' familiarity, one for each document; 0 without words."""
+        return self.evidence(data, offsets, True, apart)[1]
+
+    def unseen(self, words: list[bytes], found: list[tuple[np.ndarray, np.ndarray]] | None = None) -> np.ndarray:
         """The scores of words that the word table lacks: means over their longest known n-grams."""
         out = np.zeros((len(words), len(self.langs)))
         left = np.ones(len(words), bool)
-        for n, (hashes, word) in reversed(list(enumerate(grams(words), 1))):
+        for n, (hashes, word) in reversed(list(enumerate(found or grams(words), 1))):
             need = left[word]
             hashes, word = hashes[need], word[need]
             at, known = self.find(n, hashes)
@@ -97,24 +131,42 @@ class Model:
 
     def scores(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """The sums of the words' scores, a row for each document."""
+        return self.evidence(data, offsets, False)[0]
+
+    def evidence(self, data: np.ndarray, offsets: np.ndarray, familiarity: bool, apart: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The sums of the words' scores (without ``apart`` only) and, if asked for, the means of their familiarity."""
         hashes, starts, ends, counts = words_of(data, offsets)
-        out = np.zeros((len(counts), len(self.langs)))
+        out, like = np.zeros((len(counts), len(self.langs))), np.zeros(len(counts))
         if not len(hashes) or not self.langs:
-            return out
+            return out, like
         codes, unique = pd.factorize(hashes)
         at, known = self.find(0, unique)
         each = np.zeros((len(unique), len(self.langs)))
         each[known] = self.tables[0][1][at[known]]
-        if not known.all():
+        seen = known if apart is None else self.known(0, unique, apart)
+        share = seen.astype(float)
+        if not seen.all():
             first = np.empty(len(unique), np.int64)
             first[codes[::-1]] = np.arange(len(codes))[::-1]
-            new = first[~known]
-            each[~known] = self.unseen([data[a:b].tobytes() for a, b in zip(starts[new].tolist(), ends[new].tolist(), strict=True)])
+            new = first[~seen]
+            words = [data[a:b].tobytes() for a, b in zip(starts[new].tolist(), ends[new].tolist(), strict=True)]
+            found = grams(words)
+            if apart is None:
+                each[~known] = self.unseen(words, found)
+            if familiarity:
+                share[~seen] = self.likeness(found, len(words), apart)
         some = counts > 0
         begins = (np.cumsum(counts) - counts)[some]
         for k in range(len(self.langs)):
             out[some, k] = np.add.reduceat(each[codes, k], begins)
-        return out
+        if familiarity:
+            of = np.repeat(np.arange(len(counts)), counts)
+            before = (starts > offsets[of]) & _DIGIT[data[starts - 1]]
+            after = (ends < offsets[of + 1]) & _DIGIT[data[np.minimum(ends, len(data) - 1)]]
+            word = ~(before | after)
+            word |= np.bincount(of, word, len(counts))[of] == 0
+            like[some] = np.add.reduceat(share[codes] * word, begins) / np.add.reduceat(word.astype(float), begins)
+        return out, like
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,19 +193,25 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(h), pa.string()), pa.array(np.full(len(h), n, np.int32)), pa.array(h.view(np.int64)), pa.array(t)], ["lang", "n", "hash", "times"])
 
 
-def train(docs: DataFrame, max_docs: int = MAX_DOCS, max_words: int = MAX_WORDS) -> Model:
-    """Fit a model to the rows of ``docs`` (text, lang) with neither null."""
+def _sample(docs: DataFrame, max_docs: int) -> tuple[DataFrame, list[str]]:
+    """About ``max_docs`` lower-cased rows of each language (text, lang) with neither null, and the languages."""
     rows = docs.select(F.lower("text").alias("text"), F.col("lang").cast("string").alias("lang")).where("text is not null and lang is not null")
     shares = {r.lang: max_docs / max(r.n, 1) for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not shares:
-        return Model([], [(np.zeros(0, np.uint64), np.zeros((0, 0)))] * (LONGEST + 1))
+        return rows, []
     place = F.pmod(F.xxhash64("text"), F.lit(1 << 20))  # every copy of a text is in or out
     share = F.create_map(*(x for k, v in shares.items() for x in (F.lit(k), F.lit(float(min(1.0, v) * (1 << 20))))))
-    sample = rows.where(place < share[F.col("lang")])
+    return rows.where(place < share[F.col("lang")]), sorted(shares)
+
+
+def train(docs: DataFrame, max_docs: int = MAX_DOCS, max_words: int = MAX_WORDS) -> Model:
+    """Fit a model to the rows of ``docs`` (text, lang) with neither null."""
+    sample, langs = _sample(docs, max_docs)
+    if not langs:
+        return Model([], [(np.zeros(0, np.uint64), np.zeros((0, 0)))] * (LONGEST + 1))
     times = in_batches(sample).mapInArrow(_count, "lang string, n int, hash bigint, times bigint").groupBy("n", "hash", "lang").agg(F.sum("times").alias("times"))
-    langs = sorted(shares)
     wide = times.groupBy("n", "hash").agg(*(F.sum(F.when(F.col("lang") == x, F.col("times")).otherwise(0)).alias(f"c{k}") for k, x in enumerate(langs)), F.sum("times").alias("total"))
-    tables = []
+    tables, seen = [], []
     for n in range(LONGEST + 1):
         found = wide.where((F.col("n") == n) & (F.col("total") > 1)).orderBy(F.desc("total"), "hash").limit(max_words).toPandas()
         keys = found.hash.to_numpy(np.int64).view(np.uint64)
@@ -161,13 +219,42 @@ def train(docs: DataFrame, max_docs: int = MAX_DOCS, max_words: int = MAX_WORDS)
         counts = found[[f"c{k}" for k in range(len(langs))]].to_numpy(float)[order] + SMOOTH
         logs = np.log(counts / counts.sum(0)) if len(counts) else counts
         tables.append((keys[order], logs - logs.mean(1, keepdims=True)))
-    return Model(langs, tables)
+        seen.append(counts > SMOOTH)
+    return Model(langs, tables, seen)
+
+
+def cuts(docs: DataFrame, model: Model, max_docs: int = CUT_DOCS) -> dict[str, float]:
+    """The least familiarity of a text of each language, from about ``max_docs`` training documents (text, lang) of each.
+
+    It lies midway between the median of the language's own documents and the median of documents to tables without their
+    language, that of the language least like the others; but is MOST of the former at most, so that labels that part one
+    language in several do not reject their own texts."""
+    sample, langs = _sample(docs, max_docs)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fitted: Model = shared.value
+        for batch in batches:
+            column, names = batch.column("text"), np.array(batch.column("lang").to_pylist(), dtype=object)
+            for k, lang in enumerate(fitted.langs):
+                text = flat.texts_of(column.filter(pa.array(names == lang, pa.bool_())))
+                values = [fitted.familiarity(*text), fitted.familiarity(*text, k)]
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(values[0]), pa.string()), *map(pa.array, values)], ["lang", "own", "apart"])
+
+    if not langs or not model.langs:
+        return {}
+    found = in_batches(sample.where(F.col("text").rlike(r"\p{L}"))).mapInArrow(run, "lang string, own double, apart double")
+    rows = found.groupBy("lang").agg(F.median("own").alias("own"), F.median("apart").alias("apart")).collect()
+    least = min((r.apart for r in rows), default=0.0)
+    shared.destroy()
+    return {r.lang: min((r.own + least) / 2, MOST * r.own) for r in rows}
 
 
-def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """The columns of ``docs`` (those named lang_pred and score are replaced), then lang_pred and score."""
+def identify(docs: DataFrame, model: Model, familiarity: bool = False) -> DataFrame:
+    """The columns of ``docs`` (those named as new ones are replaced), then lang_pred and score, and familiarity if asked for."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    others = [c for c in docs.columns if c not in ("lang_pred", "score", "lowered_text_", "has_letter_")]
+    more = ["familiarity"] if familiarity else []
+    others = [c for c in docs.columns if c not in ("lang_pred", "score", *more, "lowered_text_", "has_letter_")]
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in others)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,18 +263,19 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             data, offsets = flat.texts_of(batch.column("lowered_text_"))
             letter = np.asarray(batch.column("has_letter_").fill_null(False).to_numpy(zero_copy_only=False), bool)
-            for i, j in flat.pieces_of(offsets):
-                sums = fitted.scores(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+            for i, j in flat.pieces_of(offsets, flat.CHUNK >> 2):
+                text = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+                sums, like = fitted.evidence(*text, familiarity)
                 pick, score = np.full(j - i, len(fitted.langs)), np.zeros(j - i)
                 if fitted.langs:
                     best = sums.argmax(1)
                     some = letter[i:j]
                     pick[some] = best[some]
                     score[some] = (1 / np.exp(sums - sums.max(1, keepdims=True)).sum(1))[some]
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, j - i) for c in others), pa.array(names[pick], pa.string()), pa.array(score)], [*others, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, j - i) for c in others), pa.array(names[pick], pa.string()), pa.array(score), *([pa.array(like)] if familiarity else [])], [*others, "lang_pred", "score", *more])
 
     ready = docs.select(*others, F.lower("text").alias("lowered_text_"), F.col("text").rlike(r"\p{L}").alias("has_letter_"))
-    return in_batches(ready).mapInArrow(run, f"{kinds}{', ' if kinds else ''}lang_pred string, score double")
+    return in_batches(ready).mapInArrow(run, f"{kinds}{', ' if kinds else ''}lang_pred string, score double{', familiarity double' if familiarity else ''}")
 
 
 def held_out(doc_id: str = "doc_id"):
