@@ -6,7 +6,8 @@ round every word merges all places of its lowest-rank pair, found by binary sear
 
 Null and empty texts have no ids; their decoded text is empty. Ids need not be unique, repeated rows get a row each, and
 columns other than those named are not read. Texts of ASCII and Latin-1 letters are cut by array operations, all others
-by a pattern; both give the same pieces. A very long text is one array, about 40 times its bytes.
+by a pattern; both give the same pieces. A long text is encoded in slices that end before white space, which always parts
+pieces; only its ids (4 bytes each) are held whole.
 """
 
 from __future__ import annotations
@@ -24,7 +25,6 @@ from pyspark.sql import DataFrame
 
 from lexforge.llm import flat
 from lexforge.llm.pieces import CLASSES, DIGIT, LOWER, PieceTable, contractions, plain
-from lexforge.llm.store import in_batches
 
 # Fixed values of the vocabulary's file: white space, and the pattern of pieces.
 _WHITE = "".join(map(chr, [*range(9, 14), 32, 133, 160, 5760, *range(8192, 8203), 8232, 8233, 8239, 8287, 12288]))
@@ -180,53 +180,75 @@ def decimals(n: int) -> list[bytes]:
     return _DECIMAL
 
 
-def _encoded(path: str, others: list[str], digests: bool):
+def encoded_parts(encoder, data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, list[np.ndarray], np.ndarray]]:
+    """(first document, end, ids in one or more arrays, ids of each document) of runs of whole documents; a document that
+    is longer than a chunk is a run of its own and is encoded in slices."""
+    for i, j, each in flat.portions(data, offsets):
+        got = [encoder.encode(*x) for x in each]
+        yield i, j, [ids for ids, _ in got], sum(counts for _, counts in got)
+
+
+#: Ids that are joined to one string at once.
+_STEP = 1 << 16
+
+
+def _digest(ids: np.ndarray, names: list[bytes]) -> str:
+    """SHA-256 of the names of ids, parted by one space."""
+    h = hashlib.sha256()
+    for a in range(0, len(ids), _STEP):
+        h.update((b" " if a else b"") + b" ".join(map(names.__getitem__, ids[a : a + _STEP].tolist())))
+    return h.hexdigest()
+
+
+def _round_trip(path: str, others: list[str], with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
+        decimal = decimals(len(bpe.names))
         for batch in batches:
             data, offsets = flat.texts_of(batch.column("text"))
-            for i, j in flat.pieces_of(offsets):
-                ids, counts = bpe.encode(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+            for i, j, parts, counts in encoded_parts(bpe, data, offsets):
+                ids = parts[0] if len(parts) == 1 else np.concatenate(parts)
                 ends = np.concatenate([[0], np.cumsum(counts)])
+                spans = list(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True))
                 columns = [batch.column(c).slice(i, j - i) for c in others]
-                if digests:
-                    decimal, listed, sums = decimals(len(bpe.names)), [], []
-                    for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
-                        own = ids[a:b].tolist()
-                        listed.append(hashlib.sha256(b" ".join(map(decimal.__getitem__, own))).hexdigest())
-                        sums.append(hashlib.sha256(bpe.decode(own)).hexdigest())
-                    columns += [pa.array(counts), pa.array(listed), pa.array(sums)]
-                    names = [*others, "n_tokens", "ids_sha256", "decoded_sha256"]
-                else:
-                    columns += [pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids.astype(np.int32))), pa.array(counts)]
-                    names = [*others, "ids", "n_tokens"]
-                yield pa.RecordBatch.from_arrays(columns, names)
-
-    return run
+                if with_ids:
+                    columns.append(pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids.astype(np.int32))))
+                columns += [pa.array(counts), pa.array([_digest(ids[a:b], decimal) for a, b in spans], pa.string()), pa.array([_digest(ids[a:b], bpe.names) for a, b in spans], pa.string())]
+                yield pa.RecordBatch.from_arrays(columns, [*others, *(["ids"] if with_ids else []), "n_tokens", "ids_sha256", "decoded_sha256"])
 
+    return flat.released(run)
 
-def encoded(docs: DataFrame, path: str) -> DataFrame:
-    """The columns of ``docs`` other than text, ids and n_tokens, then ids (array of int) and n_tokens of the text."""
-    others = [c for c in docs.columns if c not in ("text", "ids", "n_tokens")]
-    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in others)
-    return in_batches(docs.select(*others, "text")).mapInArrow(_encoded(path, others, False), f"{kinds}, ids array<int>, n_tokens bigint")
+
+def _kinds(rows: DataFrame, columns: list[str]) -> str:
+    return "".join(f"`{c}` {rows.schema[c].dataType.simpleString()}, " for c in columns)
+
+
+def round_trip(docs: DataFrame, path: str) -> DataFrame:
+    """The columns of ``docs`` other than text and the new ones, then ids (array of int) and n_tokens of the text, a digest
+    of the ids in decimal, and one of the text that is decoded from them. One pass through Python encodes and decodes."""
+    new = ("text", "ids", "n_tokens", "ids_sha256", "decoded_sha256")
+    others = [c for c in docs.columns if c not in new]
+    return docs.select(*others, "text").mapInArrow(_round_trip(path, others, True), f"{_kinds(docs, others)}ids array<int>, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256): the ids of each text, and the text decoded from these ids."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return in_batches(docs.select("doc_id", "text")).mapInArrow(_encoded(path, ["doc_id"], True), f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of ``round_trip``, without the ids."""
+    return docs.select("doc_id", "text").mapInArrow(_round_trip(path, ["doc_id"], False), f"{_kinds(docs, ['doc_id'])}n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+
+
+def encoded(docs: DataFrame, path: str) -> DataFrame:
+    """The columns of ``docs`` other than text and those of ``round_trip``, then ids and n_tokens of the text."""
+    return round_trip(docs, path).drop("ids_sha256", "decoded_sha256")
 
 
 def decoded(rows: DataFrame, path: str) -> DataFrame:
     """The columns of ``rows`` other than ids and text, then text: that of ids (null: null)."""
     others = [c for c in rows.columns if c not in ("text", "ids")]
-    kinds = "".join(f"`{c}` {rows.schema[c].dataType.simpleString()}, " for c in others)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
         for batch in batches:
-            texts = [None if x is None else bpe.decode(x).decode() for x in batch.column("ids").to_pylist()]
+            texts = (None if not x.is_valid else bpe.decode(x.values.to_pylist()).decode() for x in batch.column("ids"))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in others), pa.array(texts, pa.string())], [*others, "text"])
 
-    return in_batches(rows.select(*others, "ids")).mapInArrow(run, f"{kinds}text string")
+    return rows.select(*others, "ids").mapInArrow(flat.released(run), f"{_kinds(rows, others)}text string")

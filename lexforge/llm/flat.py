@@ -8,14 +8,49 @@ the same with a chance of about n * n / 2**65.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import functools
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Bytes of text that are worked on at once; the arrays made for them take about 40 times as much.
-CHUNK = 1 << 21
+#: Bytes of text that are worked on at once; the arrays made for them take about 40 times as much. Longer documents are
+#: worked on in slices (``in_slices``).
+CHUNK = 1 << 19
+
+
+@functools.cache
+def _libc():
+    try:
+        return ctypes.CDLL("libc.so.6").malloc_trim
+    except (OSError, AttributeError):  # another C library
+        return lambda pad: 0
+
+
+def give_back() -> None:
+    """Return freed memory to the system: workers are used again by later stages, which need it."""
+    pa.default_memory_pool().release_unused()
+    _libc()(0)
+
+
+def released(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """``run``, giving freed memory back after each batch and at the task's end."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def each() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield batch
+                del batch
+                give_back()
+
+        try:
+            yield from run(each())
+        finally:
+            give_back()
+
+    return wrapped
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -68,6 +103,35 @@ def pieces_of(offsets: np.ndarray, limit: int = CHUNK) -> Iterator[tuple[int, in
         i = j
 
 
+def in_slices(data: np.ndarray, limit: int = CHUNK) -> Iterator[tuple[int, int]]:
+    """Ranges of one text of about ``limit`` bytes each, cut only between a visible ASCII character and ASCII white space;
+    a stretch without such a place is one range, however long."""
+    a, n = 0, len(data)
+    while a < n:
+        b = min(n, a + limit)
+        while b < n:
+            end = min(n, b + limit)
+            before, here = data[b - 1 : end - 1], data[b:end]
+            found = np.flatnonzero(SPACE[here] & (before > 32) & (before < 127))
+            if len(found):
+                b += int(found[0])
+                break
+            b = end
+        yield a, b
+        a = b
+
+
+def portions(data: np.ndarray, offsets: np.ndarray, limit: int = CHUNK) -> Iterator[tuple[int, int, Iterator[tuple[np.ndarray, np.ndarray]]]]:
+    """(first document, end, (bytes, offsets) of them) of runs of at most ``limit`` bytes; a longer document is a run of
+    its own, which comes in slices, each as one document."""
+    for i, j in pieces_of(offsets, limit):
+        own = data[offsets[i] : offsets[j]]
+        if len(own) <= limit:
+            yield i, j, iter([(own, offsets[i : j + 1] - offsets[i])])
+        else:
+            yield i, j, ((own[a:b], np.array([0, b - a])) for a, b in in_slices(own, limit))
+
+
 def runs(classes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Bounds of the runs of equal classes, which end at documents' ends: run k is bounds[k] to bounds[k + 1]."""
     n = len(classes)

@@ -5,9 +5,11 @@ that training has seen are taken, first those of 5 characters (with marks for th
 single characters. All log frequencies count against their mean over the languages, so a word that no table knows adds
 nothing. The language with the largest sum wins (the first by name, if equal), and its score is its share after softmax.
 
-Training takes up to ``max_docs`` documents of each language, chosen by a hash of text alone, and keeps the most frequent
-``max_words`` words and n-grams of each length; both bounds are parameters. The tables, a few MB, go to the executors as a
-Spark broadcast.
+Training takes about ``max_docs`` different documents, with about ``max_chars`` characters in all, of each language, chosen
+by a hash of the text alone (equal texts count once); both bounds are parameters. Of these documents every word and n-gram
+is kept. As the sample is bounded, so are the tables, which go to the executors as a Spark broadcast: 8 bytes and 5 for each
+language for each entry, 20 MB for the 700,000 of the check tool's tables. Tables beyond MAX_TABLE bytes, or more than
+MAX_LANGS labels, raise an error that names the bound; nothing is left out silently.
 
 The score grows with a text's length whatever its language, so it does not tell that a language is unknown; nor do mean log
 odds a word, which are as large for Polish as for texts of the training languages. Familiarity does: the mean over words
@@ -16,12 +18,13 @@ of codes and keys, not words, and don't count unless there is nothing else.
 ``cuts`` sets, from training documents, how familiar a text of each language must be.
 
 A null text, or one without a letter, is ``und`` with score 0. So is every text if training had no rows. lang, source
-and doc_id are no inputs of a prediction. Repeated rows get a row each; other columns are not read.
+and doc_id are no inputs of a prediction. Repeated rows get a row each; other columns are not read. Long texts are scored
+in slices that end before white space, whose sums are added.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -30,12 +33,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexforge.llm import flat
-from lexforge.llm.store import in_batches
+from lexforge.llm.store import written
 
 #: Longest n-gram.
 LONGEST = 5
-#: Documents that training takes of each language, and words or n-grams of one length that it keeps.
-MAX_DOCS, MAX_WORDS = 4_000, 100_000
+#: Different documents, and characters, that training takes of each language.
+MAX_DOCS, MAX_CHARS = 4_000, 32_000_000
+#: Labels, and bytes of all tables, that a model may have.
+MAX_LANGS, MAX_TABLE = 512, 512 << 20
 #: Lengths of the n-grams that count for familiarity; shorter ones are known in any language of the same script.
 FAMILIAR = (3, 4, 5)
 #: Documents of each language from which cuts are set, and the most that a cut may be of the language's own familiarity.
@@ -111,7 +116,8 @@ class Model:
 
     def familiarity(self, data: np.ndarray, offsets: np.ndarray, apart: int | None = None) -> np.ndarray:
         """The means of the words' familiarity, one for each document; 0 without words."""
-        return self.evidence(data, offsets, True, apart)[1]
+        out = [self.evidence(each, True, apart)[1] for _, _, each in flat.portions(data, offsets, flat.CHUNK)]
+        return np.concatenate([np.zeros(0), *out])
 
     def unseen(self, words: list[bytes], found: list[tuple[np.ndarray, np.ndarray]] | None = None) -> np.ndarray:
         """The scores of words that the word table lacks: means over their longest known n-grams."""
@@ -131,12 +137,22 @@ class Model:
 
     def scores(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """The sums of the words' scores, a row for each document."""
-        return self.evidence(data, offsets, False)[0]
-
-    def evidence(self, data: np.ndarray, offsets: np.ndarray, familiarity: bool, apart: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """The sums of the words' scores (without ``apart`` only) and, if asked for, the means of their familiarity."""
+        return self.evidence([(data, offsets)], False)[0]
+
+    def evidence(self, each: Iterable[tuple[np.ndarray, np.ndarray]], familiarity: bool, apart: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The sums of the words' scores (without ``apart`` only) and, if asked for, the means of their familiarity, for
+        documents that come in one slice or several (of ``flat.portions``)."""
+        out = like = None
+        for data, offsets in each:
+            a, b = self._evidence(data, offsets, familiarity, apart)
+            out, like = (a, b) if out is None else (out + a, like + b)
+        total, of = np.where(like[:, 1:2] > 0, like[:, :2], like[:, 2:]).T
+        return out, total / np.maximum(of, 1)
+
+    def _evidence(self, data: np.ndarray, offsets: np.ndarray, familiarity: bool, apart: int | None) -> tuple[np.ndarray, np.ndarray]:
+        """Sums of scores; and sums of familiarity and numbers of words, first without those beside a digit, then of all."""
         hashes, starts, ends, counts = words_of(data, offsets)
-        out, like = np.zeros((len(counts), len(self.langs))), np.zeros(len(counts))
+        out, like = np.zeros((len(counts), len(self.langs))), np.zeros((len(counts), 4))
         if not len(hashes) or not self.langs:
             return out, like
         codes, unique = pd.factorize(hashes)
@@ -155,70 +171,81 @@ class Model:
                 each[~known] = self.unseen(words, found)
             if familiarity:
                 share[~seen] = self.likeness(found, len(words), apart)
-        some = counts > 0
-        begins = (np.cumsum(counts) - counts)[some]
+        of = np.repeat(np.arange(len(counts)), counts)
         for k in range(len(self.langs)):
-            out[some, k] = np.add.reduceat(each[codes, k], begins)
+            out[:, k] = np.bincount(of, each[codes, k], len(counts))
         if familiarity:
-            of = np.repeat(np.arange(len(counts)), counts)
             before = (starts > offsets[of]) & _DIGIT[data[starts - 1]]
             after = (ends < offsets[of + 1]) & _DIGIT[data[np.minimum(ends, len(data) - 1)]]
             word = ~(before | after)
-            word |= np.bincount(of, word, len(counts))[of] == 0
-            like[some] = np.add.reduceat(share[codes] * word, begins) / np.add.reduceat(word.astype(float), begins)
+            for k, weights in enumerate((share[codes] * word, word, share[codes], None)):
+                like[:, k] = np.bincount(of, weights, len(counts))
         return out, like
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(lang, n, hash, count) of the words (n = 0) and n-grams of lower-cased texts, summed over a chunk."""
-    for batch in batches:
-        data, offsets = flat.texts_of(batch.column("text"))
-        codes, langs = pd.factorize(batch.column("lang").to_pandas())
-        for i, j in flat.pieces_of(offsets):
-            own = data[offsets[i] : offsets[j]]
-            hashes, starts, ends, counts = words_of(own, offsets[i : j + 1] - offsets[i])
-            of = np.repeat(codes[i:j], counts)
-            for code, lang in enumerate(langs):
-                number, unique = pd.factorize(hashes[of == code])
-                if not len(unique):
-                    continue
-                times = np.bincount(number)
-                first = np.empty(len(unique), np.int64)
-                first[number[::-1]] = np.flatnonzero(of == code)[::-1]
-                kinds = [(unique, times)]
-                for h, w in grams([own[a:b].tobytes() for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]):
-                    number, hs = pd.factorize(h)
-                    kinds.append((hs, np.bincount(number, times[w], len(hs)).astype(np.int64)))
-                for n, (h, t) in enumerate(kinds):
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(h), pa.string()), pa.array(np.full(len(h), n, np.int32)), pa.array(h.view(np.int64)), pa.array(t)], ["lang", "n", "hash", "times"])
-
-
-def _sample(docs: DataFrame, max_docs: int) -> tuple[DataFrame, list[str]]:
-    """About ``max_docs`` lower-cased rows of each language (text, lang) with neither null, and the languages."""
-    rows = docs.select(F.lower("text").alias("text"), F.col("lang").cast("string").alias("lang")).where("text is not null and lang is not null")
-    shares = {r.lang: max_docs / max(r.n, 1) for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not shares:
+def _count(langs: list[str]):
+    """(n, hash, lang, times) of the words (n = 0) and n-grams of lower-cased texts, summed over a chunk; lang is a number."""
+    number_of = {x: k for k, x in enumerate(langs)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = flat.texts_of(batch.column("text"))
+            codes = np.array([number_of[x] for x in batch.column("lang").to_pylist()], np.int16)
+            for i, j, each in flat.portions(data, offsets):
+                for own, places in each:
+                    hashes, starts, ends, counts = words_of(own, places)
+                    of = np.repeat(codes[i:j], counts)
+                    for code in np.unique(of):
+                        number, unique = pd.factorize(hashes[of == code])
+                        times = np.bincount(number)
+                        first = np.empty(len(unique), np.int64)
+                        first[number[::-1]] = np.flatnonzero(of == code)[::-1]
+                        kinds = [(unique, times)]
+                        for h, w in grams([own[a:b].tobytes() for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]):
+                            number, hs = pd.factorize(h)
+                            kinds.append((hs, np.bincount(number, times[w], len(hs)).astype(np.int64)))
+                        for n, (h, t) in enumerate(kinds):
+                            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), n, np.int8)), pa.array(h.view(np.int64)), pa.array(np.full(len(h), code, np.int16)), pa.array(t)], ["n", "hash", "lang", "times"])
+
+    return flat.released(run)
+
+
+def _sample(docs: DataFrame, max_docs: int, max_chars: int = MAX_CHARS) -> tuple[DataFrame, list[str]]:
+    """About ``max_docs`` different rows of each language (text, lang) with neither null, of about ``max_chars`` characters,
+    lower-cased; and the languages."""
+    rows = docs.select("text", F.col("lang").cast("string").alias("lang")).where("text is not null and lang is not null")
+    sizes = written(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars")))
+    each = sizes.limit(MAX_LANGS + 1).collect()
+    if len(each) > MAX_LANGS:
+        raise ValueError(f"lang has more than {MAX_LANGS} values")
+    if not each:
         return rows, []
+    share = F.create_map(*(x for r in each for x in (F.lit(r.lang), F.lit(min(1.0, max_docs / r.n, max_chars / max(r.chars, 1)) * (1 << 20)))))
     place = F.pmod(F.xxhash64("text"), F.lit(1 << 20))  # every copy of a text is in or out
-    share = F.create_map(*(x for k, v in shares.items() for x in (F.lit(k), F.lit(float(min(1.0, v) * (1 << 20))))))
-    return rows.where(place < share[F.col("lang")]), sorted(shares)
+    chosen = rows.where(place < share[F.col("lang")]).dropDuplicates(["lang", "text"])
+    return chosen.select(F.lower("text").alias("text"), "lang"), sorted(r.lang for r in each)
 
 
-def train(docs: DataFrame, max_docs: int = MAX_DOCS, max_words: int = MAX_WORDS) -> Model:
+def train(docs: DataFrame, max_docs: int = MAX_DOCS, max_chars: int = MAX_CHARS) -> Model:
     """Fit a model to the rows of ``docs`` (text, lang) with neither null."""
-    sample, langs = _sample(docs, max_docs)
+    sample, langs = _sample(docs, max_docs, max_chars)
     if not langs:
         return Model([], [(np.zeros(0, np.uint64), np.zeros((0, 0)))] * (LONGEST + 1))
-    times = in_batches(sample).mapInArrow(_count, "lang string, n int, hash bigint, times bigint").groupBy("n", "hash", "lang").agg(F.sum("times").alias("times"))
-    wide = times.groupBy("n", "hash").agg(*(F.sum(F.when(F.col("lang") == x, F.col("times")).otherwise(0)).alias(f"c{k}") for k, x in enumerate(langs)), F.sum("times").alias("total"))
+    counted = sample.mapInArrow(_count(langs), "n tinyint, hash bigint, lang smallint, times bigint")
+    times = written(counted.groupBy("n", "hash", "lang").agg(F.sum("times").alias("times")))
+    rows = times.count()
+    if rows * (8 + 5 * len(langs)) > MAX_TABLE:
+        raise ValueError(f"the tables would take more than {MAX_TABLE} bytes; lower max_docs or max_chars")
+    found = times.toArrow()  # at most MAX_TABLE bytes
+    n, hashes, lang, times = (found.column(c).to_numpy() for c in ("n", "hash", "lang", "times"))
     tables, seen = [], []
-    for n in range(LONGEST + 1):
-        found = wide.where((F.col("n") == n) & (F.col("total") > 1)).orderBy(F.desc("total"), "hash").limit(max_words).toPandas()
-        keys = found.hash.to_numpy(np.int64).view(np.uint64)
-        order = np.argsort(keys)
-        counts = found[[f"c{k}" for k in range(len(langs))]].to_numpy(float)[order] + SMOOTH
+    for k in range(LONGEST + 1):
+        of = n == k
+        keys, row = np.unique(hashes[of].view(np.uint64), return_inverse=True)
+        counts = np.full((len(keys), len(langs)), SMOOTH)
+        counts[row, lang[of]] += times[of]
         logs = np.log(counts / counts.sum(0)) if len(counts) else counts
-        tables.append((keys[order], logs - logs.mean(1, keepdims=True)))
+        tables.append((keys, (logs - logs.mean(1, keepdims=True)).astype(np.float32)))
         seen.append(counts > SMOOTH)
     return Model(langs, tables, seen)
 
@@ -243,7 +270,7 @@ def cuts(docs: DataFrame, model: Model, max_docs: int = CUT_DOCS) -> dict[str, f
 
     if not langs or not model.langs:
         return {}
-    found = in_batches(sample.where(F.col("text").rlike(r"\p{L}"))).mapInArrow(run, "lang string, own double, apart double")
+    found = written(sample.where(F.col("text").rlike(r"\p{L}")).mapInArrow(flat.released(run), "lang string, own double, apart double"))
     rows = found.groupBy("lang").agg(F.median("own").alias("own"), F.median("apart").alias("apart")).collect()
     least = min((r.apart for r in rows), default=0.0)
     shared.destroy()
@@ -263,9 +290,8 @@ def identify(docs: DataFrame, model: Model, familiarity: bool = False) -> DataFr
         for batch in batches:
             data, offsets = flat.texts_of(batch.column("lowered_text_"))
             letter = np.asarray(batch.column("has_letter_").fill_null(False).to_numpy(zero_copy_only=False), bool)
-            for i, j in flat.pieces_of(offsets, flat.CHUNK >> 2):
-                text = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
-                sums, like = fitted.evidence(*text, familiarity)
+            for i, j, each in flat.portions(data, offsets):
+                sums, like = fitted.evidence(each, familiarity)
                 pick, score = np.full(j - i, len(fitted.langs)), np.zeros(j - i)
                 if fitted.langs:
                     best = sums.argmax(1)
@@ -275,7 +301,7 @@ def identify(docs: DataFrame, model: Model, familiarity: bool = False) -> DataFr
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, j - i) for c in others), pa.array(names[pick], pa.string()), pa.array(score), *([pa.array(like)] if familiarity else [])], [*others, "lang_pred", "score", *more])
 
     ready = docs.select(*others, F.lower("text").alias("lowered_text_"), F.col("text").rlike(r"\p{L}").alias("has_letter_"))
-    return in_batches(ready).mapInArrow(run, f"{kinds}{', ' if kinds else ''}lang_pred string, score double{', familiarity double' if familiarity else ''}")
+    return ready.mapInArrow(flat.released(run), f"{kinds}{', ' if kinds else ''}lang_pred string, score double{', familiarity double' if familiarity else ''}")
 
 
 def held_out(doc_id: str = "doc_id"):

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from lexforge.llm import flat
 from lexforge.llm.graph import components
-from lexforge.llm.store import bounded, in_batches, written
+from lexforge.llm.store import bounded, written
 
 WORDS, ROWS, BANDS = 5, 5, 30
 SLOTS = ROWS * BANDS
@@ -42,8 +42,8 @@ BLOCK_DOCS, BLOCK_SHINGLES = 64, 200_000
 #: Ids of candidate documents up to which they are broadcast to the scan of the texts (8 bytes each); beyond, a shuffle.
 BROADCAST_IDS = 500_000
 
-#: Bytes of text that are shingled at once: an element may need a permutation of the slots, of SLOTS bytes.
-CHUNK = 1 << 19
+#: Shingles that are sketched at once: an element may need a permutation of the slots, of SLOTS bytes.
+ELEMENTS = 1 << 16
 
 _MULTIPLIERS = flat.numbers(WORDS + 1, 3) | np.uint64(1)
 _LEVELS = flat.numbers(SLOTS, 4)
@@ -90,7 +90,21 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
 
 
 def signatures(elements: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """SuperMinHash signatures, a row of SLOTS doubles for each document (infinite for an empty set)."""
+    """SuperMinHash signatures, a row of SLOTS doubles for each document (infinite for an empty set). Of more than ELEMENTS
+    shingles the signatures of parts are joined, as a signature holds minima."""
+    ends = np.cumsum(sizes)
+    if len(elements) <= ELEMENTS:
+        return _signatures(elements, sizes)
+    out = np.full((len(sizes), SLOTS), np.inf)
+    for a in range(0, len(elements), ELEMENTS):
+        b = min(a + ELEMENTS, len(elements))
+        i, j = np.searchsorted(ends, [a, b - 1], "right")
+        inside = np.minimum(ends[i : j + 1], b) - np.maximum((ends - sizes)[i : j + 1], a)
+        out[i : j + 1] = np.minimum(out[i : j + 1], _signatures(elements[a:b], np.maximum(inside, 0)))
+    return out
+
+
+def _signatures(elements: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     docs = len(sizes)
     table = np.full(docs * SLOTS, np.inf)
     doc = np.repeat(np.arange(docs), sizes)
@@ -132,7 +146,7 @@ def band_keys(table: np.ndarray) -> np.ndarray:
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, offsets = flat.texts_of(batch.column("text"))
-        for i, j in flat.pieces_of(offsets, CHUNK):
+        for i, j in flat.pieces_of(offsets):
             elements, sizes, keys = shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
             bands = band_keys(signatures(elements, sizes)).view(np.int64)[sizes > 0]
             ends = np.concatenate([[0], np.cumsum(np.where(sizes > 0, BANDS, 0))]).astype(np.int32)
@@ -143,7 +157,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, offsets = flat.texts_of(batch.column("text"))
-        for i, j in flat.pieces_of(offsets, CHUNK):
+        for i, j in flat.pieces_of(offsets):
             elements, sizes, keys = shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
             ends = np.concatenate([[0], np.cumsum(sizes)])
             sets = pa.array([elements[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary())
@@ -214,7 +228,7 @@ def near_duplicates(docs: DataFrame, threshold: int = 80) -> DataFrame:
     docs = docs.select("doc_id", "text")
     plain = docs.withColumn("text_key", F.xxhash64("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    sketched = written(in_batches(plain).mapInArrow(_sketch, f"doc_id {kind}, text_key bigint, n_shingles bigint, k1 bigint, k2 bigint, bands array<bigint>"))
+    sketched = written(plain.mapInArrow(flat.released(_sketch), f"doc_id {kind}, text_key bigint, n_shingles bigint, k1 bigint, k2 bigint, bands array<bigint>"))
     some = sketched.where("n_shingles > 0")
     classes = written(some.groupBy("k1", "k2").agg(F.min("doc_id").alias("doc"), F.count(F.lit(1)).alias("n"), F.any_value("n_shingles").alias("n_shingles"), F.any_value("bands").alias("bands")))
 
@@ -244,7 +258,7 @@ def _confirmed(docs: DataFrame, classes: DataFrame, clusters: DataFrame, thresho
     sizes = written(sizes.select("cluster", F.greatest(F.ceil(F.col("docs") / BLOCK_DOCS), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks")))
     ids = bounded(written(members.select(F.col("doc").alias("rep")).distinct()), BROADCAST_IDS)
     texts = docs.join(ids, docs.doc_id.eqNullSafe(ids.rep), "left_semi").select("text")
-    sets = written(in_batches(texts).mapInArrow(_sets, "k1 bigint, k2 bigint, elements binary").dropDuplicates(["k1", "k2"]))
+    sets = written(texts.mapInArrow(flat.released(_sets), "k1 bigint, k2 bigint, elements binary").dropDuplicates(["k1", "k2"]))
     where = members.join(bounded(sizes), "cluster").select("k1", "k2", "cluster", "blocks", F.pmod(F.col("k2"), F.col("blocks")).cast("int").alias("block"))
     dealt = sets.join(where, ["k1", "k2"]).select("k1", "k2", "elements", "cluster", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("x"))
     dealt = dealt.select("k1", "k2", "elements", "cluster", "block", F.least("block", "x").alias("i"), F.greatest("block", "x").alias("j"))

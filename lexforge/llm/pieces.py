@@ -48,10 +48,11 @@ def contractions(data: np.ndarray, classes: np.ndarray, change: np.ndarray, edge
 
 
 class PieceTable:
-    """Ids of pieces by the pieces' 64-bit hashes, for as many pieces as ``limit``; when it is full it starts anew."""
+    """Ids of pieces by the pieces' 64-bit hashes, for as many pieces as ``limit`` with ``most`` ids in all, about 30 MB;
+    when it is full it starts anew."""
 
-    def __init__(self, limit: int = 1_000_000):
-        self.limit = limit
+    def __init__(self, limit: int = 500_000, most: int = 3_000_000):
+        self.limit, self.most = limit, most
         self.clear()
 
     def clear(self) -> None:
@@ -66,7 +67,7 @@ class PieceTable:
             return np.zeros(0, np.int32), np.zeros(0, np.int64)
         codes, unique = pd.factorize(hashes)
         known = self._known(unique)
-        if len(self.keys) + (~known).sum() > self.limit:
+        if len(self.keys) + (~known).sum() > self.limit or len(self.ids) > self.most:
             self.clear()
             known[:] = False
         if not known.all():
