@@ -13,8 +13,8 @@ and an expression on the columns of the labels.
 
 Marks are words (runs of ASCII letters, digits and other alphabets' characters, A-Z lower-cased) and the stems that a word's
 first 4, 5 and 6 bytes make, as insults come in families with many endings. Every mark of the training documents is
-tested, and all whose likelihood-ratio statistic for a category is above SIGNIFICANT are features, however many these are;
-the rate of symbols is one more. Training takes about ``max_rows`` labelled documents (a parameter, MAX_ROWS), chosen by a
+tested, and all whose likelihood-ratio statistic for a category is above SIGNIFICANT and that multiply its odds by LIFT are
+features, however many these are; the rate of symbols is one more. Training takes about ``max_rows`` labelled documents (a parameter, MAX_ROWS), chosen by a
 hash of the id. Only the features found in them, not their texts, go to the driver. All else is for all rows.
 Predicted toxic are texts with a probability of at least CUT.
 
@@ -40,7 +40,7 @@ from lexforge.llm.store import bounded, written
 #: Names of the links, in order, and what of a label makes each.
 LABELS = [("low_quality", "quality = 0"), ("toxic", "toxic = 1")]
 CATEGORIES = tuple(name for name, _ in LABELS)
-MAX_ROWS, SIGNIFICANT, FOLDS = 12_000, 15.0, 5  # 15: one mark in 10,000 by chance
+MAX_ROWS, SIGNIFICANT, LIFT, FOLDS = 12_000, 15.0, 4, 5  # 15: one mark in 10,000 by chance
 STEMS = [4, 5, 6]
 CUT = 0.5
 _SYMBOL = flat.byte_table(b"#*$%&|<>")
@@ -130,7 +130,7 @@ def fit(x: Rows, y: np.ndarray, ridge: float = 0.1, rounds: int = 25, start: np.
             size, before = rest @ eased, size
             towards = eased + size / before * towards
         w += step
-        if np.abs(step).max() < 1e-3:
+        if np.abs(step).max() < 1e-4:
             break
     return w
 
@@ -223,6 +223,11 @@ def gain(of: str) -> str:
     return " + ".join(f"if({o} > 0, 2D * ({o}) * ln(({o}) / ({e})), 0D)" for o, e in cells)
 
 
+def lifts(of: str) -> str:
+    """SQL: whether the odds of the class ``of`` are LIFT times as large with the mark as without."""
+    return f"{of} * (n_ - {of}_ - n + {of}) >= {LIFT} * (n - {of}) * ({of}_ - {of})"
+
+
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, categories: list[tuple[str, str]] = LABELS) -> Chain:
     """Fit a chain to the rows of ``labels`` (doc_id and the columns that ``categories`` name) and the texts of ``docs``
     (doc_id, text)."""
@@ -243,9 +248,9 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, categori
     sample = rows.mapInArrow(_marked(carried), f"{kind}, marks array<bigint>")
     each = sample.select(F.explode("marks").alias("mark"), *names).groupBy("mark").agg(F.count(F.lit(1)).cast("double").alias("n"), *(F.sum(c).cast("double").alias(c) for c in names))
     each = each.select("*", F.lit(float(total.n)).alias("n_"), *(F.lit(float(total[c] or 0)).alias(f"{c}_") for c in names))
-    strong = written(each.where(" or ".join(f"({gain(c)}) > {SIGNIFICANT}" for c in names)).select("mark")).toArrow()
+    strong = written(each.where(" or ".join(f"({gain(c)}) > {SIGNIFICANT} and {lifts(c)}" for c in names)).select("mark")).toArrow()
     marks = np.sort(strong.column("mark").to_numpy().view(np.uint64))
-    found = written(rows.mapInArrow(_features(marks, carried), f"{kind}, found array<bigint>, symbols double")).toArrow().combine_chunks()
+    found = written(rows.mapInArrow(_features(marks, carried), f"{kind}, found array<bigint>, symbols double")).orderBy(*carried, "symbols", "found").toArrow().combine_chunks()  # in one order, for equal sums
     lists = found.column("found").combine_chunks()
     x = Rows(np.concatenate([[0], np.cumsum(np.asarray(lists.value_lengths()))]), np.asarray(lists.flatten()), found.column("symbols").to_numpy()[:, None], len(marks))
     return fit_chain(marks, x, np.column_stack([found.column(c).to_numpy() for c in names]).astype(float), found.column("fold").to_numpy(), tuple(c for c, _ in categories))
