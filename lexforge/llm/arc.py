@@ -7,16 +7,22 @@ goes and marked as truncated. The converter makes for each record a WARC record
 timestamp (missing digits count as the first month, day or zero; no date at all as 1970), a type (warcinfo for the version
 block, response for HTTP answers, else resource), and digests of block and payload.
 
-``write`` takes pages through ARC records of either version into WARC files in the shared folder, compressed record by
-record. Of pages with equal payloads of at least LEAST bytes the one with the smallest page_id is the response; the others
-are revisits that hold the HTTP header only and refer to it. Null html is empty. Null page_ids are kept, are never
-referred to while another page has the payload, and count as larger than all. Rows that repeat the smallest page_id are all
-responses. A null URL is archived as RFC 6761's ``http://invalid/``.
+Archives are read as streams, plain or compressed record by record, in time linear in their size; what is held is one
+record. ``write_arc`` archives pages in ARC files in the shared folder, of either version and either form in turn, and
+``convert_files`` makes a WARC file of each: a first pass over the ARC files gives each record's digest, from which the
+revisits of each file follow, and a second pass converts. Of pages with equal payloads of at least LEAST bytes the one
+with the smallest page_id is the response; the others are revisits that hold the HTTP header only and refer to it.
+
+Null html is empty. Null page_ids are kept, are never referred to while another page has the payload, and count as larger
+than all. Rows that repeat the smallest page_id are all responses. A null URL is archived as RFC 6761's
+``http://invalid/``. Columns other than page_id, url and html are not read. An empty table gives no records.
 """
 
 from __future__ import annotations
 
+import gzip
 import hashlib
+import io
 import re
 import zlib
 from collections.abc import Iterator
@@ -61,27 +67,27 @@ def arc_record(version: int, fields: dict[str, str], block: bytes) -> bytes:
     return " ".join(fields.get(k, "-") for k in FIELDS[version]).encode() + b"\n" + block + b"\n"
 
 
-def parse_arc(data: bytes, version: int = 1) -> Iterator[ArcRecord]:
+def opened(stream) -> io.BufferedReader:
+    """A stream of an archive's bytes, decompressed if it is a gzip file of one member or many."""
+    plain = io.BufferedReader(stream, 1 << 18)
+    return io.BufferedReader(gzip.GzipFile(fileobj=plain), 1 << 18) if plain.peek(2)[:2] == b"\x1f\x8b" else plain
+
+
+def parse_arc(data: bytes | io.BufferedReader, version: int = 1) -> Iterator[ArcRecord]:
     """The records of an ARC file, its version block first; ``version`` holds until a version block names one."""
-    at = 0
-    while at < len(data):
-        end = data.find(b"\n", at)
-        line = data[at : end if end >= 0 else len(data)]
-        at = len(data) if end < 0 else end + 1
+    stream = opened(io.BytesIO(data)) if isinstance(data, bytes) else data
+    while line := stream.readline():
         if not line.strip():
             continue
-        head = line.startswith(b"filedesc:")
-        if head:  # the block of this record tells the version, and so the fields of this line too
-            found = re.match(rb"(\d)", data[at : at + 1])
-            version = 2 if found and found[1] == b"2" else 1
+        if line.startswith(b"filedesc:"):  # the block of this record tells the version, and so the fields of this line too
+            version = 2 if stream.peek(1)[:1] == b"2" else 1
         names = FIELDS[version]
-        parts = line.decode("utf-8", "replace").rstrip("\r").rsplit(" ", len(names) - 1)
+        parts = line.decode("utf-8", "replace").rstrip("\r\n").rsplit(" ", len(names) - 1)
         if len(parts) != len(names) or not parts[-1].isascii() or not parts[-1].isdigit():
             continue
         length = int(parts[-1])
-        block = data[at : at + length]
+        block = stream.read(length)
         yield ArcRecord(dict(zip(names, parts, strict=True)), block, len(block) < length)
-        at += length
 
 
 def timestamp(date: str) -> str:
@@ -137,26 +143,22 @@ def convert(record: ArcRecord, refers_to: tuple[str, str] | None = None) -> Warc
     return WarcRecord(headers, block)
 
 
-def members(data: bytes) -> Iterator[bytes]:
-    """What the members of a gzip file hold, one after the other."""
-    while data:
-        unpack = zlib.decompressobj(31)
-        out = unpack.decompress(data) + unpack.flush()
-        if not unpack.eof:
-            raise ValueError("the file ends within a member")
-        yield out
-        data = unpack.unused_data
-
-
-def parse_warc(record: bytes) -> WarcRecord:
-    end = record.index(b"\r\n\r\n")
-    head = record[:end].decode("utf-8").split("\r\n")
-    if not head[0].startswith("WARC/"):
-        raise ValueError("not a WARC record")
-    headers = dict(line.split(": ", 1) for line in head[1:])
-    block = record[end + 4 : end + 4 + int(headers["Content-Length"])]
-    http = http_parts(block)[0].decode("utf-8").split("\r\n")[1:]
-    return WarcRecord(headers, block, dict(line.split(": ", 1) for line in http if ": " in line))
+def parse_warc(stream: io.BufferedReader) -> Iterator[WarcRecord]:
+    """The records of a WARC file."""
+    while line := stream.readline():
+        if not line.strip():
+            continue
+        if not line.startswith(b"WARC/"):
+            raise ValueError("not a WARC record")
+        headers = {}
+        while (line := stream.readline()).strip():
+            name, value = line.decode("utf-8").rstrip("\r\n").split(": ", 1)
+            headers[name] = value
+        block = stream.read(int(headers["Content-Length"]))
+        if len(block) < int(headers["Content-Length"]):
+            raise ValueError("the file ends within a record")
+        http = http_parts(block)[0].decode("utf-8").split("\r\n")[1:]
+        yield WarcRecord(headers, block, dict(line.split(": ", 1) for line in http if ": " in line))
 
 
 def _packed(data: bytes) -> bytes:
@@ -177,60 +179,126 @@ def page_record(page: str) -> str:
     return record_id("page", page)
 
 
-def linked(pages: DataFrame) -> DataFrame:
-    """``pages`` (page_id, url, html) with digest, and refers_to: the page whose payload each one repeats."""
-    rows = pages.selectExpr("page_id", "url", "coalesce(html, '') as html").selectExpr("*", "sha2(html, 256) as digest", f"octet_length(html) >= {LEAST} as large")
-    several = rows.where("large").groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1 and first is not null")
-    several = store.bounded(store.written(several.select(F.col("digest").alias("of"), "first")))
-    # pages that cannot repeat another get keys that match nothing, each its own, so that they spread
-    key = F.when(F.col("large"), F.col("digest")).otherwise(F.concat(F.lit("-"), F.xxhash64("page_id", "url").cast("string")))
-    found = rows.withColumn("key", key).join(several, F.col("key") == F.col("of"), "left")
-    return found.select("page_id", "url", "html", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to"))
+def _file(folder: str, part: int, kind: str) -> str:
+    return f"{folder}/part-{part:05d}.{kind}"
 
 
-def write(pages: DataFrame, folder: str) -> list[int]:
-    """Archive ``pages`` in WARC files in ``folder``; the numbers of the files."""
+def _records(folder: str, part: int) -> Iterator[ArcRecord]:
+    """The records of an ARC file without its version block."""
+    files, path = store.filesystem(_file(folder, part, "arc"))
+    with files.open_input_file(path) as f, opened(f) as stream:
+        yield from (r for r in parse_arc(stream) if not r.fields["url"].startswith("filedesc:"))
+
+
+def _page_of(block: bytes) -> str:
+    """The page that the HTTP header names."""
+    found = re.search(rb"\r\nX-Page: (-?\d*)\r\n", http_parts(block)[0])
+    return found[1].decode() if found else ""
+
+
+def write_arc(pages: DataFrame, folder: str) -> list[int]:
+    """Archive ``pages`` (page_id, url, html) in ARC files in ``folder``; the numbers of the files. Versions 1 and 2 take
+    turns; of each three files two are compressed record by record."""
 
     def archive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        version = 1 + part % 2
+        version, pack = 1 + part % 2, bytes if part % 3 == 2 else _packed
 
         def out(stream) -> None:
-            for record in parse_arc(arc_head(version, f"part-{part:05d}.arc", "20240101000000")):
-                stream.write(_packed(convert(record).bytes()))
+            stream.write(pack(arc_head(version, f"part-{part:05d}.arc", "20240101000000")))
             for batch in batches:
-                for row in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html", "refers_to")), strict=True):
-                    page = "" if row[0] is None else str(row[0])
-                    fields = {"url": _one_line(row[1]), "ip": "0.0.0.0", "date": "20240101000000", "content_type": "text/html", "result": "200"}
-                    legacy = arc_record(version, fields, _response(page, row[2].encode("utf-8", "surrogatepass")))
-                    for record in parse_arc(legacy, version):
-                        refers = None if row[3] is None else (page_record(str(row[3])), str(row[3]))
-                        made = convert(record, refers)
-                        made.headers["WARC-Record-ID"] = page_record(page) if page else made.headers["WARC-Record-ID"]
-                        stream.write(_packed(made.bytes()))
-
-        store.commit_file(f"{folder}/part-{part:05d}.warc.gz", out)
+                for page, url, html in zip(*(batch.column(c) for c in ("page_id", "url", "html")), strict=True):
+                    fields = {"url": _one_line(url.as_py()), "ip": "0.0.0.0", "date": "20240101000000", "content_type": "text/html", "result": "200"}
+                    body = html.as_buffer().to_pybytes() if html.is_valid else b""
+                    stream.write(pack(arc_record(version, fields, _response("" if not page.is_valid else str(page.as_py()), body))))
+
+        store.commit_file(_file(folder, part, "arc"), out)
         yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32())})
 
-    return sorted(r.part for r in linked(pages).mapInArrow(archive, "part int").collect())
+    rows = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("binary").alias("html"))
+    return sorted(r.part for r in rows.mapInArrow(archive, "part int").collect())
+
+
+def _over(spark: SparkSession, parts: list[int]) -> DataFrame:
+    """(part): a row and a task for each file."""
+    listed = spark.createDataFrame([(k, p) for k, p in enumerate(parts)], "k bigint, part int")
+    return spark.range(0, len(parts), 1, len(parts)).join(F.broadcast(listed), F.col("id") == F.col("k")).select("part")  # one row for each file
+
+
+def revisits(spark: SparkSession, folder: str, parts: list[int]) -> DataFrame:
+    """(part, n, refers_to): the records of the ARC files, numbered in each from 0, whose payload is another page's."""
+
+    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in batch.column("part").to_pylist():
+                rows = []
+                for n, record in enumerate(_records(folder, part)):
+                    payload = http_parts(record.block)[1]
+                    if len(payload) >= LEAST:
+                        page = _page_of(record.block)
+                        rows.append((part, n, int(page) if page else None, hashlib.sha256(payload).digest()))
+                columns = list(zip(*rows, strict=True)) or [[]] * 4
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["part", "n", "page", "digest"])
+
+    rows = store.written(_over(spark, parts).mapInArrow(digests, "part int, n bigint, page bigint, digest binary"))
+    several = rows.groupBy("digest").agg(F.min("page").alias("refers_to"), F.count(F.lit(1)).alias("times")).where("times > 1 and refers_to is not null").drop("times")
+    return rows.join(store.bounded(store.written(several)), "digest").where(~F.col("page").eqNullSafe(F.col("refers_to"))).select("part", "n", "refers_to")
+
+
+def convert_files(spark: SparkSession, folder: str, parts: list[int]) -> None:
+    """Write for each ARC file in ``folder`` a WARC file, compressed record by record."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, again in zip(batch.column("part").to_pylist(), batch.column("again").to_pylist(), strict=True):
+                refers = {x["n"]: str(x["refers_to"]) for x in again or []}
+
+                def out(stream, part=part, refers=refers) -> None:
+                    files, path = store.filesystem(_file(folder, part, "arc"))
+                    n = 0
+                    with files.open_input_file(path) as f, opened(f) as legacy:
+                        for record in parse_arc(legacy):
+                            if record.fields["url"].startswith("filedesc:"):
+                                stream.write(_packed(convert(record).bytes()))
+                                continue
+                            first, page = refers.get(n), _page_of(record.block)
+                            made = convert(record, None if first is None else (page_record(first), first))
+                            if page:
+                                made.headers["WARC-Record-ID"] = page_record(page)
+                            stream.write(_packed(made.bytes()))
+                            n += 1
+
+                store.commit_file(_file(folder, part, "warc.gz"), out)
+            yield batch.select(["part"])
+
+    lists = revisits(spark, folder, parts).groupBy("part").agg(F.collect_list(F.struct("n", "refers_to")).alias("again"))  # of one file each
+    _over(spark, parts).join(lists, "part", "left").repartition(len(parts), "part").mapInArrow(run, "part int").count()
+
+
+def write(pages: DataFrame, folder: str) -> list[int]:
+    """Archive ``pages`` in ARC files in ``folder`` and convert these to WARC files; the numbers of the files."""
+    parts = write_arc(pages, folder)
+    if parts:
+        convert_files(pages.sparkSession, folder, parts)
+    return parts
 
 
 def read(spark: SparkSession, folder: str, parts: list[int]) -> DataFrame:
-    """(page_id, payload_bytes, payload_digest, record_type, refers_to) of the records in the files of ``folder``."""
+    """(page_id, payload_bytes, payload_digest, record_type, refers_to) of the records in the WARC files of ``folder``."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
         for batch in batches:
-            for k in batch.column("id").to_pylist():
-                files, path = store.filesystem(f"{folder}/part-{parts[k]:05d}.warc.gz")
-                with files.open_input_file(path) as f:
-                    data = f.read()
-                rows = [_row(r) for r in map(parse_warc, members(data)) if r.headers["WARC-Type"] != "warcinfo"]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows, strict=True)) or [[]] * 5, [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()], strict=True)], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
+            for part in batch.column("part").to_pylist():
+                files, path = store.filesystem(_file(folder, part, "warc.gz"))
+                with files.open_input_file(path) as f, opened(f) as stream:
+                    rows = [_row(r) for r in parse_warc(stream) if r.headers["WARC-Type"] != "warcinfo"]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows, strict=True)) or [[]] * 5, [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()], strict=True)], names)
 
     kinds = "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint"
     if not parts:
         return spark.createDataFrame([], kinds)
-    return spark.range(0, len(parts), 1, len(parts)).mapInArrow(scan, kinds)
+    return _over(spark, parts).mapInArrow(scan, kinds)
 
 
 def _row(r: WarcRecord) -> tuple:

@@ -40,8 +40,8 @@ def op3_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared_dir(spark)
-    parts = tokens.write(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), folder, END_ID)
-    return tokens.read(spark, folder, parts)
+    tokens.write(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), folder, END_ID)
+    return tokens.read(spark, folder)
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

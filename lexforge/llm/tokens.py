@@ -4,6 +4,7 @@ A store is a folder with, for each range of doc_ids in ascending order,
 
 * ``part-NNNNN.bin``: the ids of its documents, each with the end id, as little-endian unsigned integers of 2 bytes (of 4
   if the vocabulary needs them), and
+* ``manifest.json``: the number of parts, the bytes of an id and the end id, and
 * ``part-NNNNN.idx``: little-endian signed 64-bit integers: for n documents first n + 1 offsets, in ids, of the documents
   in the whole store, then n doc_ids, then n flags (1: the doc_id is null).
 
@@ -13,13 +14,15 @@ and renamed, so a task that runs again leaves the same whole file.
 
 Pieces are encoded once by the tokenizers library and then taken from a bounded table. That gives what the library gives
 for whole texts, as the vocabulary's merges never cross pieces; texts beyond ASCII and Latin-1 letters, or with the form
-of a special token, go to the library whole. Null and empty texts have the end id alone. Null doc_ids come first; rows
-with one doc_id are in the order of a hash of their texts. Other columns are not read.
+of a special token, go to the library whole, or, where very long, in slices that end before white space, as no piece spans
+a visible character and white space after it. Null and empty texts have the end id alone. Null doc_ids come first; rows
+with one doc_id are in the order of a hash of their texts. Other columns are not read, so that their names cannot clash.
 """
 
 from __future__ import annotations
 
 import functools
+import json
 import os
 import struct
 import zlib
@@ -100,6 +103,11 @@ def with_end(ids: np.ndarray, counts: np.ndarray, end: int) -> np.ndarray:
     return out
 
 
+def width_of(vocabulary: int, end: int) -> int:
+    """The bytes of an id."""
+    return 2 if max(vocabulary, end + 1) <= 1 << 16 else 4
+
+
 def _part(folder: str, part: int, kind: str) -> str:
     return f"{folder}/part-{part:05d}.{kind}"
 
@@ -115,7 +123,7 @@ def write(docs: DataFrame, path: str, folder: str, end: int) -> int:
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part = load(path), TaskContext.get().partitionId()
-        width = "<u2" if max(encoder.size, end + 1) <= 1 << 16 else "<u4"
+        kind = f"<u{width_of(encoder.size, end)}"
         counts: list[np.ndarray] = []
         ids: list[np.ndarray] = []
         null: list[np.ndarray] = []
@@ -126,9 +134,10 @@ def write(docs: DataFrame, path: str, folder: str, end: int) -> int:
                 key = batch.column("doc_id")
                 null.append(np.asarray(key.is_null()).astype("<i8"))
                 ids.append(np.asarray(key.fill_null(0)).astype("<i8"))
-                for i, j in flat.pieces_of(offsets):
-                    got, n = encoder.encode(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                    stream.write(with_end(got, n, end).astype(width).tobytes())
+                for _, _, each in flat.portions(data, offsets):
+                    parts = [encoder.encode(*x) for x in each]
+                    got, n = np.concatenate([x for x, _ in parts]), sum(x for _, x in parts)
+                    stream.write(with_end(got, n, end).astype(kind).tobytes())
                     counts.append(n + 1)
 
         store.commit_file(_part(folder, part, "bin"), out)
@@ -153,12 +162,23 @@ def write(docs: DataFrame, path: str, folder: str, end: int) -> int:
 
     if n:
         spark.range(0, n, 1, n).mapInArrow(index, "id bigint").count()
+    told = json.dumps({"parts": n, "width": width_of(load(path).size, end), "end": end}).encode()
+    store.commit_file(f"{folder}/manifest.json", lambda f: f.write(told))
     return n
 
 
-def read(spark: SparkSession, folder: str, parts: int, width: int = 2) -> DataFrame:
+def manifest(folder: str) -> dict[str, int]:
+    """What a store says of itself: parts, width, end."""
+    files, path = store.filesystem(f"{folder}/manifest.json")
+    with files.open_input_file(path) as f:
+        return json.loads(f.read())
+
+
+def read(spark: SparkSession, folder: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of the documents in a store, from its files, mapped into memory where the
     file system can."""
+    told = manifest(folder)
+    parts, width = told["parts"], told["width"]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -72,8 +72,8 @@ def test_token_files(spark, tmp_path):
     rows = [(i * 7 % 50, t) for i, t in enumerate(texts()[:49])] + [(None, "null id"), (3, "again"), (3, "again")]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
     folder = f"file://{tmp_path}/store"
-    parts = tokens.write(docs, tokenizer("byte_bpe_50k.json"), folder, END_ID)
-    found = sorted(tokens.read(spark, folder, parts).collect(), key=lambda r: r.start)
+    tokens.write(docs, tokenizer("byte_bpe_50k.json"), folder, END_ID)
+    found = sorted(tokens.read(spark, folder).collect(), key=lambda r: r.start)
     at = 0
     want = {}
     for i, t in rows:
@@ -84,7 +84,48 @@ def test_token_files(spark, tmp_path):
         assert r.start == at
         at += r.n_tokens
         want[r.doc_id].remove((r.n_tokens, r.ids_crc32))
-    assert tokens.read(spark, folder + "2", tokens.write(docs.limit(0), tokenizer("byte_bpe_50k.json"), folder + "2", END_ID)).count() == 0
+    assert tokens.manifest(folder)["width"] == 2
+    assert tokens.write(docs.limit(0), tokenizer("byte_bpe_50k.json"), folder + "2", END_ID) >= 0 and tokens.read(spark, folder + "2").count() == 0
+    # an end id beyond 16 bits: wide ids, known from the store; extra columns that clash with its own
+    clash = docs.selectExpr("doc_id", "text", "1 as n_tokens", "'x' as h", "2 as start")
+    tokens.write(clash, tokenizer("byte_bpe_50k.json"), folder + "4", 70_000)
+    wide = {(r.start, r.n_tokens) for r in tokens.read(spark, folder + "4").collect()}
+    assert tokens.manifest(folder + "4")["width"] == 4 and wide == {(r.start, r.n_tokens) for r in found}
+    some = tokens.mapped(next((tmp_path / "store4").glob("*.bin")).as_uri(), "<u4")
+    assert (some == 70_000).any()
+
+
+def test_long_texts_are_encoded_in_slices(monkeypatch):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(flat, "CHUNK", 64)
+    monkeypatch.setattr(flat.portions, "__defaults__", (64,))
+    monkeypatch.setattr(flat.in_slices, "__defaults__", (64,))
+    r = random.Random(5)
+    each = [" ".join(t or "" for t in texts()), "w" * 300, "a b  c\n" * 40, "\u00a0 x \u2003 y" * 30, *(("".join(r.choice("ab 's\n.É日") for _ in range(400))) for _ in range(40))]
+    data, offsets = flat.texts_of(pa.array(each))
+    for name, load in (("word_bpe_49k.json", bpe.load), ("byte_bpe_50k.json", tokens.load)):
+        library, encoder = Tokenizer.from_file(tokenizer(name)), load(tokenizer(name))
+        for i, _, parts in flat.portions(data, offsets):
+            got = [encoder.encode(*x)[0] for x in parts]
+            assert np.concatenate(got).tolist() == library.encode(each[i], add_special_tokens=False).ids
+
+
+def test_digests_are_the_librarys(spark):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(tokenizer("word_bpe_49k.json"))
+    rows = [(i, t) for i, t in enumerate(texts())] + [(3, "again"), (3, "again"), (None, "long word " * 90_000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").selectExpr("*", "'x' as ids_sha256", "'y' as n_tokens")
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    want = []
+    for i, t in rows:
+        ids = library.encode(t or "", add_special_tokens=False).ids
+        want.append((str(i), len(ids), sha(" ".join(map(str, ids))), sha(library.decode(ids, skip_special_tokens=False))))
+    path = tokenizer("word_bpe_49k.json")
+    assert sorted((str(r.doc_id), r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in bpe.digests(docs, path).collect()) == sorted(want)
+    both = bpe.round_trip(docs.select("doc_id", "text"), path).collect()
+    assert sorted((str(r.doc_id), len(r.ids), sha(" ".join(map(str, r.ids))), r.decoded_sha256) for r in both) == sorted(want)
 
 
 def images():
@@ -170,7 +211,7 @@ def test_arc_versions_and_damage():
         assert [m.headers["WARC-Date"] for m in made] == ["2024-01-02T03:04:05Z", "1999-12-01T00:00:00Z", "1970-01-01T00:00:00Z", "2001-01-01T00:00:00Z"]
         assert made[1].headers["WARC-Payload-Digest"] == "sha256:" + hashlib.sha256(b"<p>\n").hexdigest()
         assert made[3].headers["WARC-Truncated"] == "length"
-        again = arc.parse_warc(made[1].bytes())
+        (again,) = arc.parse_warc(arc.opened(__import__("io").BytesIO(made[1].bytes())))
         assert again.block == page.block and again.http["X-Page"] == "7"
         assert len({m.headers["WARC-Record-ID"] for m in made}) == 4
 
@@ -184,3 +225,28 @@ def test_warc_round_trip_with_copies(spark, tmp_path):
     assert got == {(5, 120, "revisit", 2), (2, 120, "response", None), (9, 120, "revisit", 2), (4, 99, "response", None), (3, 99, "response", None), (7, 0, "response", None), (8, 0, "response", None), (None, 120, "revisit", 2)}
     empty = f"file://{tmp_path}/none"
     assert arc.read(spark, empty, arc.write(pages.limit(0), empty)).count() == 0
+
+
+def test_archives_are_read_in_linear_time():
+    import io
+    import time
+
+    record = arc.arc_record(1, {"url": "http://a/", "ip": "0", "date": "2001", "content_type": "t"}, b"x" * 300)
+    data = arc._packed(arc.arc_head(1, "a", "2001")) + b"".join(arc._packed(record) for _ in range(60_000))
+    start = time.time()
+    assert sum(1 for _ in arc.parse_arc(arc.opened(io.BytesIO(data)))) == 60_001
+    assert time.time() - start < 20
+    made = arc._packed(arc.WarcRecord({"WARC-Type": "resource"}, b"abc").bytes()) * 60_000
+    start = time.time()
+    assert sum(len(r.block) for r in arc.parse_warc(arc.opened(io.BytesIO(made)))) == 180_000
+    assert time.time() - start < 20
+
+
+def test_pages_of_every_kind_are_archived(spark, tmp_path):
+    rows = [(1, "http://a/" + "u" * 5000, "long " * 400_000), (1, "http://a/", "long " * 400_000), (2, "http://b/", "HTTP/1.1 200 OK\r\n\r\n" + "z" * 200), (3, "c", "filedesc://x 1 2 3 4\n" * 20), (3, "c", "filedesc://x 1 2 3 4\n" * 20)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string").selectExpr("*", "'q' as part", "'r' as digest", "1 as n")
+    folder = f"file://{tmp_path}/kinds"
+    got = sorted((r.page_id, r.payload_bytes, r.payload_digest, r.record_type) for r in arc.read(spark, folder, arc.write(pages, folder)).collect())
+    assert got == sorted((i, len(t), hashlib.sha256(t.encode()).hexdigest(), "response") for i, _, t in rows)
+    heads = {p.name: p.read_bytes()[:2] for p in (tmp_path / "kinds").glob("*.arc")}
+    assert b"\x1f\x8b" in heads.values()
