@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from lexforge.llm.store import bounded, written
 
-STEPS, MIN_GROUP, SHARE, TAIL = 3, 100, 0.75, 1e-6
+STEPS, SHRINK, SHARE, TAIL = 3, 50, 0.75, 1e-6
 #: Least variances of the four statistics, in thousandths squared.
 RIDGE = (250_000.0, 10_000.0, 640_000.0, 2_250_000.0)
 P = len(RIDGE)
@@ -65,7 +65,7 @@ def statistics(docs: DataFrame) -> DataFrame:
     rows = rows.selectExpr("*", "size(w_) as n_", "length(array_join(w_, '')) as word_chars", "size(l_) - size(array_distinct(l_)) as n_dup_lines", "transform(w_, x -> xxhash64(x)) as h_").drop("l_")
     rows = rows.withColumn("b_", F.expr("length(bin(n_))"))
     rows = rows.withColumn("s_", F.expr("if(n_ < 4, array(), sort_array(transform(sequence(0, n_ - 3), i -> shiftleft(xxhash64(h_[i], h_[i + 1], h_[i + 2]), b_) | cast(i as bigint))))")).withColumn("m_", F.expr("shiftleft(1L, b_) - 1L"))
-    rows = rows.withColumn("r_", F.expr("if(size(s_) < 2, array(), filter(sequence(0, size(s_) - 2), j -> shiftrightunsigned(s_[j], b_) = shiftrightunsigned(s_[j + 1], b_) and slice(w_, cast(s_[j] & m_ as int) + 1, 3) = slice(w_, cast(s_[j + 1] & m_ as int) + 1, 3)))"))
+    rows = rows.withColumn("r_", F.expr("if(size(s_) < 2, array(), filter(sequence(0, size(s_) - 2), j -> shiftrightunsigned(s_[j], b_) = shiftrightunsigned(s_[j + 1], b_) and w_[cast(s_[j] & m_ as int) + 0] = w_[cast(s_[j + 1] & m_ as int) + 0] and w_[cast(s_[j] & m_ as int) + 1] = w_[cast(s_[j + 1] & m_ as int) + 1] and w_[cast(s_[j] & m_ as int) + 2] = w_[cast(s_[j + 1] & m_ as int) + 2]))"))
     covered = "size(array_distinct(flatten(transform(flatten(transform(r_, j -> array(s_[j] & m_, s_[j + 1] & m_))), k -> array(k, k + 1, k + 2)))))"
     rows = rows.selectExpr("doc_id", "lang", "source", *(f"cast({x} as bigint) as {y}" for x, y in (("n_", "n_words"), ("word_chars", "word_chars"), ("n_symbols", "n_symbols"), ("n_dup_lines", "n_dup_lines"), (f"if(size(r_) = 0, 0, {covered})", "n_repeat_words"))))
     return rows.withColumn("base_failed", F.expr("n_words < 50 or 100 * n_repeat_words > 50 * n_words"))
@@ -82,6 +82,12 @@ VECTOR = [
 SUMS = ["count(*) as n", *(f"cast(sum(cast(f{i} as decimal(38, 0))) as double) as s{i}" for i in range(P)), *(f"cast(sum(cast(f{i} * f{j} as decimal(38, 0))) as double) as q{i}{j}" for i, j in PAIRS)]
 
 
+MOMENTS = [*(f"s{i}" for i in range(P)), *(f"q{i}{j}" for i, j in PAIRS)]
+#: Sums over all groups, and the sums of a group with SHRINK rows of these more.
+POOL = ["sum(n) as pn", *(f"sum({m}) as p{m}" for m in MOMENTS)]
+SHRUNK = [f"n + {SHRINK} as n", *(f"{m} + {SHRINK} * (p{m} / pn) as {m}" for m in MOMENTS)]
+
+
 def _covariance(i: int, j: int) -> str:
     return f"(q{i}{j} / n - (s{i} / n) * (s{j} / n)" + (f" + {RIDGE[i]})" if i == j else ")")
 
@@ -117,22 +123,24 @@ def _chain(rows: DataFrame, steps: list[tuple[str, str]]) -> DataFrame:
     return rows
 
 
-def _grouped(rows: DataFrame, by: list[str]) -> DataFrame:
-    return written(_chain(rows.groupBy(*by).agg(*(F.expr(x) for x in SUMS)), estimate()))
+def _grouped(rows: DataFrame) -> DataFrame:
+    """The estimates of each group and start, from the chosen rows."""
+    sums = written(rows.groupBy("g", "start").agg(*(F.expr(x) for x in SUMS)))
+    pool = sums.groupBy("start").agg(*(F.expr(x) for x in POOL))  # a row for each of two starts
+    return written(_chain(sums.join(F.broadcast(pool), "start").selectExpr("g", "start", *SHRUNK), estimate()))
 
 
 def estimates(vectors: DataFrame) -> DataFrame:
     """(g, m.., c.., det): the estimates of each group g of ``vectors`` (g, f0..)."""
-    first = _grouped(vectors, ["g"])
-    joined = vectors.join(bounded(first), "g")
-    box = _chain(joined.where(BOX).select(*vectors.columns).groupBy("g").agg(*(F.expr(x) for x in SUMS)), estimate())
-    now = written(first.withColumn("start", F.lit(0)).unionByName(box.withColumn("start", F.lit(1))))
+    first = _grouped(vectors.withColumn("start", F.lit(0)))
+    inside = vectors.join(bounded(first.drop("start")), "g").where(BOX).select(*vectors.columns, F.lit(1).alias("start"))
+    now = written(first.unionByName(_grouped(inside)))
     for _ in range(STEPS):
         near = _chain(vectors.join(bounded(now.select("g", "start", *FACTORS)), "g"), distance()).withColumn("class", F.expr(CLASS)).select("g", "start", "class", *(f"f{i}" for i in range(P)))
         counts = written(near.groupBy("g", "start", "class").agg(F.count(F.lit(1)).alias("rows")))
         sums = counts.selectExpr("g", "start", "class", "sum(rows) over (partition by g, start order by class) as up_to", "sum(rows) over (partition by g, start) as whole")
         limit = written(sums.where(f"up_to >= {SHARE} * whole").groupBy("g", "start").agg(F.min("class").alias("last")))
-        now = _grouped(near.join(bounded(limit), ["g", "start"]).where("class <= last"), ["g", "start"])
+        now = _grouped(near.join(bounded(limit), ["g", "start"]).where("class <= last"))
     return now.groupBy("g").agg(F.min(F.struct("det", "start", *FACTORS)).alias("x")).select("g", "x.*")
 
 
@@ -141,11 +149,8 @@ def judged(docs: DataFrame) -> DataFrame:
     ``docs`` (doc_id, text, lang, source); d2 is null for texts that fail the base rule."""
     rows = written(statistics(docs))
     passed = rows.where("not base_failed")
-    sizes = written(passed.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("size")))
-    named = sizes.selectExpr("lang as lang_", "source as source_", f"if(size < {MIN_GROUP}, '', concat_ws('|', 'of', coalesce(lang, '-'), coalesce(source, '-'), lang is null, source is null)) as g")
-    of = bounded(written(named))
-    with_group = passed.join(of, passed.lang.eqNullSafe(of.lang_) & passed.source.eqNullSafe(of.source_)).drop("lang_", "source_")
-    vectors = written(with_group.selectExpr("*", *(f"{x} as f{i}" for i, x in enumerate(VECTOR))))
+    group = "concat_ws('|', length(coalesce(lang, '')), coalesce(lang, ''), coalesce(source, ''), lang is null, source is null) as g"
+    vectors = written(passed.selectExpr("*", group, *(f"{x} as f{i}" for i, x in enumerate(VECTOR))))
     final = bounded(written(estimates(vectors.select("g", *(f"f{i}" for i in range(P))))))
     names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
     scored = _chain(vectors.join(final, "g"), distance()).selectExpr(*names, f"d2 <= {CUT} as kept", "d2")
@@ -184,15 +189,19 @@ WITH base AS (
   FROM base b LEFT JOIN covered c ON b.r = c.r
 ), judged AS (
   SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM counted
-), sized AS (
-  SELECT *, count(*) OVER (PARTITION BY lang, source) AS size FROM judged WHERE NOT base_failed
 ), vectors AS MATERIALIZED (
-  SELECT r, CASE WHEN size < {MIN_GROUP} THEN '' ELSE 'of|' || coalesce(lang, '-') || '|' || coalesce(source, '-') || (lang IS NULL) || (source IS NULL) END AS g,
-    {", ".join(f"{x} AS f{i}" for i, x in enumerate(VECTOR))} FROM sized
-), sums AS MATERIALIZED (SELECT g, {sums} FROM vectors GROUP BY g)"""
-    out += steps("first", "sums", estimate())
-    out += f", boxes AS MATERIALIZED (SELECT g, {sums} FROM (SELECT g, {', '.join(f'v.f{i}' for i in range(P))} FROM vectors v JOIN first USING (g) WHERE {BOX}) GROUP BY g)"
-    out += steps("box", "boxes", estimate())
+  SELECT r, length(coalesce(lang, '')) || '|' || coalesce(lang, '') || '|' || coalesce(source, '') || (lang IS NULL) || (source IS NULL) AS g,
+    {", ".join(f"{x} AS f{i}" for i, x in enumerate(VECTOR))} FROM judged WHERE NOT base_failed
+), sums AS MATERIALIZED (SELECT g, 0 AS start, {sums} FROM vectors GROUP BY g)"""
+
+    def shrunk(name: str) -> str:
+        return f", {name}_ AS MATERIALIZED (SELECT g, start, {', '.join(SHRUNK)} FROM {name} JOIN (SELECT start, {', '.join(POOL)} FROM {name} GROUP BY start) USING (start))"
+
+    out += shrunk("sums")
+    out += steps("first", "sums_", estimate())
+    out += f", boxes AS MATERIALIZED (SELECT g, 1 AS start, {sums} FROM (SELECT g, {', '.join(f'v.f{i}' for i in range(P))} FROM vectors v JOIN first USING (g) WHERE {BOX}) GROUP BY g)"
+    out += shrunk("boxes")
+    out += steps("box", "boxes_", estimate())
     columns = ", ".join(["g", *FACTORS, "det"])
     out += f", now0 AS (SELECT {columns}, 0 AS start FROM first UNION ALL SELECT {columns}, 1 AS start FROM box)"
     for s in range(STEPS):
@@ -202,7 +211,8 @@ WITH base AS (
         out += f", upto{s} AS (SELECT g, start, class, sum(k) OVER (PARTITION BY g, start ORDER BY class) AS up_to, sum(k) OVER (PARTITION BY g, start) AS whole FROM rows{s})"
         out += f", limit{s} AS (SELECT g, start, min(class) AS last FROM upto{s} WHERE up_to >= {SHARE} * whole GROUP BY g, start)"
         out += f", sums{s} AS MATERIALIZED (SELECT g, start, {sums} FROM classed{s} JOIN limit{s} USING (g, start) WHERE class <= last GROUP BY g, start)"
-        out += steps(f"est{s}_", f"sums{s}", estimate())
+        out += shrunk(f"sums{s}")
+        out += steps(f"est{s}_", f"sums{s}_", estimate())
         out += f", now{s + 1} AS (SELECT {columns}, start FROM est{s}_)"
     out += f", final AS (SELECT * FROM now{STEPS} QUALIFY row_number() OVER (PARTITION BY g ORDER BY det, start) = 1)"
     out += steps("dist", f"(SELECT r, {f}, {', '.join(FACTORS)} FROM vectors JOIN final USING (g))", distance())

@@ -9,7 +9,7 @@ import pytest
 from compare import both, connect
 from pyspark.sql import functions as F
 
-from lexforge.llm import graph, langid, minhash, mixing, quality, queries, toxicity, urls
+from lexforge.llm import graph, langid, minhash, mixing, quality, queries, store, toxicity, urls
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -329,6 +329,24 @@ def test_quality_rejects_outliers_of_each_group(spark):
     assert all(out[i] for i in range(400)) and not any(out[1000 + i] for i in range(60))
 
 
+def test_small_groups_are_estimated_as_large_ones_are(spark):
+    """A group of five rows has its own estimate, which leans on the others; repeated rows count and get a row each."""
+    r = random.Random(3)
+    text = lambda n, tail="": " ".join(f"w{r.randint(0, 9999)}{tail}" for _ in range(n))
+    rows = [(i, text(r.randint(80, 300)), "en", "big") for i in range(200)] + [(1000 + i, text(150), "xx", "small") for i in range(5)]
+    rows += [(2000, text(150, "$#"), "xx", "small"), (3000, rows[0][1], "en", "big"), (3000, rows[0][1], "en", "big"), (4000, "one two " * 30_000, "en", "big")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string").selectExpr("*", "1 as g", "2 as start", "3 as f0", "true as kept")
+    out = sorted((x.doc_id, x.kept) for x in quality.judged(docs).collect())
+    assert len(out) == len(rows) and [k for i, k in out if i == 3000] == [True, True]
+    assert all(k for i, k in out if i < 2000) and not dict(out)[2000] and not dict(out)[4000]
+    assert len({x.g for x in quality.estimates(quality_vectors(spark, docs)).collect()}) == 2
+
+
+def quality_vectors(spark, docs):
+    passed = quality.statistics(docs).where("not base_failed")
+    return store.written(passed.selectExpr("concat(lang, source) as g", *(f"{x} as f{i}" for i, x in enumerate(quality.VECTOR))))
+
+
 def test_registration():
     import __spark_entry__ as e
 
