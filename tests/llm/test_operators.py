@@ -343,7 +343,7 @@ def test_small_groups_are_estimated_as_large_ones_are(spark):
 
 
 def quality_vectors(spark, docs):
-    passed = quality.statistics(docs).where("not base_failed")
+    passed = store.written(quality.statistics(docs)).where("not base_failed")
     return store.written(passed.selectExpr("concat(lang, source) as g", *(f"{x} as f{i}" for i, x in enumerate(quality.VECTOR))))
 
 
