@@ -238,10 +238,10 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, categori
     place = F.pmod(F.xxhash64("id_"), F.lit(1 << 20))
     chosen = kinds.where(place < int(min(1.0, max_rows / max(n, 1)) * (1 << 20))).withColumn("fold", (F.crc32(F.col("id_").cast("string").cast("binary")) % FOLDS).cast("int"))
     chosen = bounded(written(chosen), 2 * MAX_ROWS)
-    carried = [*names, "fold"]
+    carried = [*names, "fold", "key"]
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(chosen, F.col("doc_id") == F.col("id_"))
-    rows = written(rows.dropDuplicates(["id_", "text"]).select("text", *carried))
-    kind = ", ".join(f"{c} int" for c in carried)
+    rows = written(rows.dropDuplicates(["id_", "text"]).withColumn("key", F.xxhash64("text", "id_")).select("text", *carried))
+    kind = ", ".join(f"{c} {'bigint' if c == 'key' else 'int'}" for c in carried)
     total = rows.agg(F.count(F.lit(1)).alias("n"), *(F.sum(c).alias(c) for c in names)).first()
     if not total.n:
         return Chain(np.zeros(0, np.uint64), [np.array([0.0] * (k + 1) + [-40.0]) for k in range(len(categories))], tuple(c for c, _ in categories))
@@ -250,7 +250,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, categori
     each = each.select("*", F.lit(float(total.n)).alias("n_"), *(F.lit(float(total[c] or 0)).alias(f"{c}_") for c in names))
     strong = written(each.where(" or ".join(f"({gain(c)}) > {SIGNIFICANT} and {lifts(c)}" for c in names)).select("mark")).toArrow()
     marks = np.sort(strong.column("mark").to_numpy().view(np.uint64))
-    found = written(rows.mapInArrow(_features(marks, carried), f"{kind}, found array<bigint>, symbols double")).orderBy(*carried, "symbols", "found").toArrow().combine_chunks()  # in one order, for equal sums
+    found = written(rows.mapInArrow(_features(marks, carried), f"{kind}, found array<bigint>, symbols double")).toArrow().sort_by("key").combine_chunks()  # in one order, for equal sums
     lists = found.column("found").combine_chunks()
     x = Rows(np.concatenate([[0], np.cumsum(np.asarray(lists.value_lengths()))]), np.asarray(lists.flatten()), found.column("symbols").to_numpy()[:, None], len(marks))
     return fit_chain(marks, x, np.column_stack([found.column(c).to_numpy() for c in names]).astype(float), found.column("fold").to_numpy(), tuple(c for c, _ in categories))
