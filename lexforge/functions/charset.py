@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import codecs
 import re
 
 import pandas as pd
@@ -29,18 +30,16 @@ def codec(codepage: int) -> str:
     return f"cp{codepage}" if codepage in SINGLE else "latin-1"
 
 
+def _latin_byte(e: UnicodeDecodeError) -> tuple[str, int]:
+    return chr(e.object[e.start]), e.start + 1
+
+
+codecs.register_error("lexforge.latin", _latin_byte)
+
+
 def utf8_lenient(data: bytes) -> str:
-    """UTF-8, in which bytes that do not fit count as Latin-1."""
-    out, at = [], 0
-    while at < len(data):
-        try:
-            out.append(data[at:].decode("utf-8"))
-            break
-        except UnicodeDecodeError as e:
-            out.append(data[at : at + e.start].decode("utf-8"))
-            out.append(data[at + e.start : at + e.start + 1].decode("latin-1"))
-            at += e.start + 1
-    return "".join(out)
+    """UTF-8, in which bytes that do not fit count as Latin-1; linear in the bytes."""
+    return data.decode("utf-8", "lexforge.latin")
 
 
 def decode(data: bytes, fallback: int) -> str:

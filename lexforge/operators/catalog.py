@@ -86,6 +86,24 @@ def url_table_offset(topic: Column) -> Column:
     return 12 * topic + 4 * F.floor(topic / 341)
 
 
+def byte_counts(rows: DataFrame, column: str) -> DataFrame:
+    """(byte, n): how often each byte value, in hexadecimal, occurs in a text column's UTF-8; null counts as empty. Each batch is
+    counted on its own, so that 256 numbers of it travel and no byte does."""
+    import numpy as np
+    import pyarrow as pa
+
+    def count(batches):
+        for batch in batches:
+            data = batch.column(0).cast(pa.large_binary()).drop_null()
+            offsets = np.frombuffer(data.buffers()[1], np.int64, len(data) + 1, 8 * data.offset) if len(data) else [0, 0]
+            raw = np.frombuffer(data.buffers()[2], np.uint8)[offsets[0] : offsets[-1]] if offsets[-1] > offsets[0] else np.zeros(0, np.uint8)
+            n = np.bincount(raw, minlength=256)
+            yield pa.RecordBatch.from_arrays([pa.array([f"{b:02X}" for b in range(256)]), pa.array(n)], ["byte", "n"])
+
+    each = rows.select(F.col(column).cast("binary").alias("data")).mapInArrow(count, "byte string, n bigint")
+    return each.groupBy("byte").agg(F.sum("n").alias("n")).where("n > 0")
+
+
 def directory(entries: DataFrame) -> DataFrame:
     """``entries`` (name and more) in directory order (case folded, then as written), with rank from 0."""
     return numbered(entries.withColumn("fold_", text.fold(F.col("name"))), ["fold_", "name"], "rank").drop("fold_")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lexforge.functions import text
 from lexforge.operators.catalog import running
+from lexforge.sources.shared import kept
 
 
 def flat_keywords(uses: DataFrame) -> DataFrame:
@@ -19,16 +20,17 @@ def flat_keywords(uses: DataFrame) -> DataFrame:
     return firsts.groupBy("sort_key").agg(display, topics)
 
 
-def tree(nodes: DataFrame, most: int = 100) -> DataFrame:
+def tree(nodes: DataFrame) -> DataFrame:
     """(node, path, depth, char_index, sort_key) of ``nodes`` (node, parent, name): names joined from the root by a comma and
-    a space; char_index is the bytes of the parent's path and 2, 0 at the root. One join for each level."""
-    level = nodes.where("parent is null").select("node", F.col("name").alias("path"), F.lit(0).alias("depth"), F.lit(0).alias("char_index"))
+    a space; char_index is the bytes of the parent's path and 2, 0 at the root. One join for each level, however many there are;
+    each level is checkpointed, so none is computed twice. Nodes that no root reaches are left out."""
+    level = kept(nodes.where("parent is null").select("node", F.col("name").alias("path"), F.lit(0).alias("depth"), F.lit(0).alias("char_index")))
     out, depth = level, 0
     children = nodes.where("parent is not null").select("node", "parent", "name")
-    while depth < most:
+    while True:
         depth += 1
         above = level.select(F.col("node").alias("parent"), F.col("path").alias("above"))
-        level = children.join(above, "parent").select("node", F.concat_ws(", ", "above", "name").alias("path"), F.lit(depth).alias("depth"), (F.octet_length("above") + 2).alias("char_index"))
+        level = kept(children.join(above, "parent").select("node", F.concat_ws(", ", "above", "name").alias("path"), F.lit(depth).alias("depth"), (F.octet_length("above") + 2).alias("char_index")))
         if level.isEmpty():
             break
         out = out.unionByName(level)

@@ -25,8 +25,11 @@ def compile_project(files: DataFrame, name: str) -> dict[str, DataFrame]:
 
     Returns options, files (all that listed files reach), missing (targets and listed files that are not there), topics,
     postings, statistics, keywords, context_ids, toc, windows."""
-    raw = files.withColumn("codepage", F.lit(1252))
-    decoded = raw.select("project", "rel", charset.decode_text("data", "codepage").alias("data"))
+    is_project = text.fold(F.col("rel")) == name.lower()
+    plain = files.where(is_project).select("project", "rel", charset.decode_text("data", F.lit(1252)).alias("data"))
+    language = project.options(project.sections(project.lines(plain))).select("project", text.codepage(text.lcid(project.option("language"))).alias("codepage"))
+    raw = files.join(language, "project", "left")  # pages that name no character set are in the code page of the language
+    decoded = raw.select("project", "rel", charset.decode_text("data", F.coalesce("codepage", F.lit(1252))).alias("data"))
     own = project.sections(project.lines(decoded.where(text.fold(F.col("rel")) == name.lower())))
     chosen = project.options(own)
     nodes = project.site_maps(decoded)
@@ -61,7 +64,7 @@ def compile_project(files: DataFrame, name: str) -> dict[str, DataFrame]:
 def compile_collection(files: DataFrame, master: str) -> dict[str, DataFrame]:
     """The relations of a master project and of those that it merges, each with the column member. A merged project is
     found beside the master, or in a folder of its name; members without a project file are left out."""
-    decoded = files.select("project", "rel", F.col("data").cast("string").alias("data"))
+    decoded = files.where(text.fold(F.col("rel")) == master.lower()).select("project", "rel", charset.decode_text("data", F.lit(1252)).alias("data"))
     own = project.sections(project.lines(decoded.where(text.fold(F.col("rel")) == master.lower())))
     names = project.listed(own, "merge files").select("seq", text.stem(F.col("value")).alias("stem"))
     both = names.select("seq", "stem", F.explode(F.array(F.concat("stem", F.lit(".hhp")), F.concat("stem", F.lit("/"), "stem", F.lit(".hhp")))).alias("path"))

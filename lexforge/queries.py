@@ -386,30 +386,46 @@ def context_map(spark, sf_dir):
 _HOST = "regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)"
 
 
+def archives_of_hosts(spark, sf_dir):
+    """Each host's pages packed into an archive, as (path, content)."""
+    from lexforge.sources import container
+
+    host = F.regexp_extract("url", "^[a-z]+://([^/?#]*)", 1).alias("archive")
+    name = F.concat(F.lit("/"), F.col("page_id").cast("string"), F.lit(".html")).alias("name")
+    files = pages(spark, sf_dir).select(host, F.col("page_id").alias("seq"), name, F.encode("html", "UTF-8").alias("data"))
+    return container.pack(files).select(F.col("archive").alias("path"), F.col("data").alias("content"))
+
+
 @query(f"SELECT {_HOST} AS host, count(*) AS files, CAST(sum(octet_length(encode(html))) AS BIGINT) AS bytes FROM pages GROUP BY 1")
 def compile_stats(spark, sf_dir):
-    return pages(spark, sf_dir).groupBy(F.regexp_extract("url", "^[a-z]+://([^/?#]*)", 1).alias("host")).agg(F.count(F.lit(1)).alias("files"), F.sum(F.octet_length("html")).alias("bytes"))
+    from lexforge.sources import container
+
+    found = container.entries(archives_of_hosts(spark, sf_dir)).where("section = 1")
+    return found.groupBy(F.col("path").alias("host")).agg(F.count(F.lit(1)).alias("files"), F.sum("length").alias("bytes"))
+
 
+@query(f"""SELECT {_HOST} AS host, page_id, CAST(octet_length(encode(html)) AS BIGINT) AS length,
+  CAST(coalesce(sum(octet_length(encode(html))) OVER (PARTITION BY {_HOST} ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset" FROM pages""")
+def archive_listing(spark, sf_dir):
+    from lexforge.sources import container
 
-@query("SELECT page_id, CAST(ceil(greatest(octet_length(encode(html)), 1) / 32768) AS BIGINT) AS frames, CAST(ceil(greatest(octet_length(encode(html)), 1) / 65536) AS BIGINT) AS intervals FROM pages")
+    found = container.entries(archives_of_hosts(spark, sf_dir)).where("section = 1")
+    return found.select(F.col("path").alias("host"), F.regexp_extract("name", "^/(-?[0-9]+)", 1).cast("bigint").alias("page_id"), "length", "offset")
+
+
+@query(f"SELECT {_HOST} AS host, CAST(ceil(sum(octet_length(encode(html))) / 32768) AS BIGINT) AS frames, CAST(sum(octet_length(encode(html))) AS BIGINT) AS size FROM pages GROUP BY 1 HAVING sum(octet_length(encode(html))) > 0")
 def reset_frames(spark, sf_dir):
-    size = F.greatest(F.octet_length("html"), F.lit(1))
-    return pages(spark, sf_dir).select("page_id", F.ceil(size / 32768).alias("frames"), F.ceil(size / 65536).alias("intervals"))
+    from lexforge.sources import container
+
+    tables = container.entries(archives_of_hosts(spark, sf_dir), with_content=True).where(F.col("name") == container.RESET_TABLE)
+    little = lambda at, n: F.conv(F.concat(*(F.hex(F.substring("content", at + k, 1)) for k in range(n, 0, -1))), 16, 10).cast("bigint")
+    return tables.select(F.col("path").alias("host"), little(4, 4).alias("frames"), little(16, 8).alias("size")).where("size > 0")
 
 
 @query("""SELECT CAST(h AS VARCHAR) AS byte, count(*) AS n FROM (
   SELECT unnest(regexp_extract_all(hex(encode(text)), '..')) AS h FROM documents) GROUP BY h""")
 def byte_histogram(spark, sf_dir):
-    each = table(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all(F.hex(F.encode("text", "UTF-8")), F.lit(".."), 0)).alias("byte"))
-    return each.groupBy("byte").agg(F.count(F.lit(1)).alias("n"))
-
-
-@query("""SELECT r_name AS member, count(*) AS files, count(*) FILTER (c_acctbal < 0) AS failed FROM region
-JOIN nation ON n_regionkey = r_regionkey JOIN customer ON c_nationkey = n_nationkey GROUP BY r_name""")
-def collection_union(spark, sf_dir):
-    region, nation, customer = (table(spark, sf_dir, t) for t in ("region", "nation", "customer"))
-    rows = customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey")).join(region, F.col("n_regionkey") == F.col("r_regionkey"))
-    return rows.groupBy(F.col("r_name").alias("member")).agg(F.count(F.lit(1)).alias("files"), F.count_if(F.col("c_acctbal") < 0).alias("failed"))
+    return catalog.byte_counts(table(spark, sf_dir, "documents"), "text")
 
 
 @query("SELECT page_id, sha256(html) AS sha256, true AS same FROM pages WHERE html <> ''")

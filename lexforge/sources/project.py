@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexforge.functions import text
+from lexforge.sources.shared import kept
 
 PARAMS = "array<struct<name string, value string>>"
 
@@ -54,21 +55,22 @@ def listed(rows: DataFrame, section: str = "files") -> DataFrame:
     return found.groupBy("project", text.fold(F.col("value")).alias("k")).agg(F.min(F.struct("seq", "value")).alias("x")).select("project", "x.seq", "x.value")
 
 
-def included(rows: DataFrame, section: str, files: DataFrame, most: int = 20) -> DataFrame:
+def included(rows: DataFrame, section: str, files: DataFrame) -> DataFrame:
     """(project, seq, line) of a section, include lines replaced by the lines of the files they name; seq is an array of line
-    numbers from the project file inwards. Files that are missing are left out."""
+    numbers from the project file inwards. Files that are missing are left out; a chain of includes may be of any length, and
+    ends where it comes to a file that it holds already."""
     own = rows.where(F.col("section") == section).select("project", F.array("line_no").alias("seq"), "line", F.array().cast("array<string>").alias("chain"))
     inside = lines(files).select("project", text.fold(F.col("rel")).alias("k"), "line_no", F.col("line").alias("new"))
     is_include = F.col("line").startswith("#include")
     done = None
-    for _ in range(most):
+    while True:
         part = own.where(~is_include).select("project", "seq", "line")
         done = part if done is None else done.unionByName(part)
         named = own.where(is_include).withColumn("k", text.fold(text.slashes(F.regexp_replace(text.trim(F.regexp_replace("line", "^#include", "")), "^[\"<]|[\">]$", ""))))
         named = named.where(~F.array_contains("chain", F.col("k")))
         if named.isEmpty():
             break
-        own = named.join(inside, ["project", "k"]).select("project", F.concat("seq", F.array("line_no")).alias("seq"), F.col("new").alias("line"), F.concat("chain", F.array("k")).alias("chain"))
+        own = kept(named.join(inside, ["project", "k"]).select("project", F.concat("seq", F.array("line_no")).alias("seq"), F.col("new").alias("line"), F.concat("chain", F.array("k")).alias("chain")))
     return done
 
 
