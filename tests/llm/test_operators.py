@@ -352,3 +352,35 @@ def test_registration():
 
     names = list(e.queries())
     assert [next(n for n in names if n.startswith(f"op{k}_")) for k in range(1, 11)] and "pipeline" in names
+
+
+def test_language_training_is_that_of_brute_force(spark):
+    """Every word and n-gram counts, those met once too; equal texts count once, nulls not at all."""
+    rows = [("ab abc once", "x"), ("ab abc once", "x"), ("zz ab", "y"), ("Zz zzz", "y"), (None, "x"), ("lost", None)]
+    docs = spark.createDataFrame(rows, "text string, lang string").selectExpr("*", "1 as n", "2 as hash")
+    model = langid.train(docs)
+    assert model.langs == ["x", "y"]
+    counts = [{} for _ in range(langid.LONGEST + 1)]
+    for text, lang in {("ab abc once", 0), ("zz ab", 1), ("zz zzz", 1)}:
+        for word in text.split():
+            marked = f" {word} "
+            grams = [marked[i : i + n] for n in range(1, langid.LONGEST + 1) for i in range(len(marked) - n + 1)]
+            for g in [("word", word), *((len(g), g) for g in grams if g.strip() and not (len(g) == 1 and g == " "))]:
+                n = 0 if g[0] == "word" else g[0]
+                counts[n].setdefault(g[1], [0, 0])[lang] += 1
+    for n, table in enumerate(counts):
+        keys, logs = model.tables[n]
+        assert len(keys) == len(table), n
+        c = np.array(list(table.values())) + langid.SMOOTH
+        want = np.log(c / c.sum(0))
+        want -= want.mean(1, keepdims=True)
+        assert np.allclose(sorted(map(tuple, logs.tolist())), sorted(map(tuple, want.tolist())), atol=1e-5), n
+
+
+def test_signatures_of_parts_are_those_of_the_whole(monkeypatch):
+    r = np.random.default_rng(8)
+    sizes = np.array([0, 3, 500, 0, 40, 1, 700, 0])
+    elements = r.integers(0, 2**63, sizes.sum()).astype(np.uint64)
+    whole = minhash.signatures(elements, sizes)
+    monkeypatch.setattr(minhash, "ELEMENTS", 64)
+    assert (minhash.signatures(elements, sizes) == whole).all()
