@@ -24,6 +24,9 @@ def query(sql: str | None = None):
     return add
 
 
+_HOST = "regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -258,6 +261,17 @@ def fts_leaf_packing(spark, sf_dir):
     return fts.leaves(entries(spark, sf_dir))
 
 
+@query(f"WITH {_POSTINGS} SELECT {_HOST} AS host, word, CAST(ctx AS INTEGER) AS ctx, page_id, array_to_string(positions, ' ') AS positions FROM postings JOIN pages USING (page_id)")
+def fts_index_files(spark, sf_dir):
+    """The full-text index of each host's pages, written as a file and read back."""
+    from lexforge.operators import index_files
+
+    hosts = pages(spark, sf_dir).select("page_id", index_files.host(F.col("url")).alias("archive"))
+    found = fts.postings(words(spark, sf_dir), "page_id").join(hosts, "page_id")
+    read = index_files.fts_entries(index_files.fts_files(found, "page_id"))
+    return read.select(F.col("archive").alias("host"), "word", "ctx", F.col("page").alias("page_id"), joined("positions"))
+
+
 @query(f"WITH {_WORDS} SELECT page_id, count(*) AS hits FROM words WHERE word = 'the' GROUP BY page_id")
 def search_word(spark, sf_dir):
     return fts.search(postings(spark, sf_dir), "the", "page_id")
@@ -323,17 +337,32 @@ def directory_order(spark, sf_dir):
     return catalog.directory(pages(spark, sf_dir).select(F.concat(F.lit("/"), url_path(F.col("url"))).alias("name")).distinct())
 
 
-@query(f"""WITH uses AS (
+_KEYWORDS = f"""WITH uses AS (
   SELECT {fold("p_type")} AS sort_key, p_type, p_size AS topic, min(p_partkey) AS seq FROM part GROUP BY ALL
 ), firsts AS (
   SELECT sort_key, topic, min(seq) AS seq FROM uses GROUP BY ALL
 ) SELECT f.sort_key, (SELECT p_type FROM uses u WHERE u.sort_key = f.sort_key ORDER BY seq LIMIT 1) AS display,
-  string_agg(CAST(topic AS VARCHAR), ' ' ORDER BY seq) AS topics FROM firsts f GROUP BY f.sort_key""")
+  string_agg(CAST(topic AS VARCHAR), ' ' ORDER BY seq) AS topics FROM firsts f GROUP BY f.sort_key"""
+
+
+@query(_KEYWORDS)
 def keyword_index(spark, sf_dir):
     uses = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("seq"), F.col("p_type").alias("keyword"), F.col("p_size").alias("topic"))
     return keywords.flat_keywords(uses).select("sort_key", "display", joined("topics"))
 
 
+@query(f"SELECT CAST(row_number() OVER (ORDER BY sort_key) - 1 AS BIGINT) AS number, display, topics FROM ({_KEYWORDS})")
+def keyword_index_files(spark, sf_dir):
+    """The keyword index written as a tree of blocks and read back."""
+    from lexforge.operators import index_files
+
+    uses = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("seq"), F.col("p_type").alias("keyword"), F.col("p_size").cast("bigint").alias("topic"))
+    marked = keywords.flat_keywords(uses).withColumn("archive", F.lit("parts"))
+    none = marked.where("false").select("archive", "sort_key", "display", F.lit(None).cast("string").alias("see_also"), F.lit(0).alias("depth"), F.lit(0).alias("char_index"), "topics", F.lit(0).alias("ordinal"))
+    read = index_files.keyword_entries(index_files.keyword_files(index_files.all_keywords(none, marked)))
+    return read.select("number", "display", joined("topics"))
+
+
 _NODES = """nodes AS (
   SELECT 'r' || r_regionkey AS node, NULL AS parent, r_name AS name, 0 AS depth, [CAST(r_regionkey AS BIGINT)] AS ordinal, false AS has_page FROM region
   UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey, n_name, 1, [n_regionkey, n_nationkey], true FROM nation
@@ -383,7 +412,6 @@ def context_map(spark, sf_dir):
     return keywords.context_ids(defines, aliases)
 
 
-_HOST = "regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)"
 
 
 def archives_of_hosts(spark, sf_dir):
