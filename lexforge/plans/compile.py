@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexforge.functions import charset, text
-from lexforge.operators import catalog, crawl, fts, html, keywords
+from lexforge.functions import charset, records, text
+from lexforge.operators import catalog, crawl, fts, html, index_files, keywords
 from lexforge.sources import container, project
+from lexforge.sources.shared import kept
 
 
 def site_edges(files: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -24,30 +28,38 @@ def compile_project(files: DataFrame, name: str) -> dict[str, DataFrame]:
     """The relations of one project. files: (project, rel, data binary) of all files at hand; name: its .hhp file.
 
     Returns options, files (all that listed files reach), missing (targets and listed files that are not there), topics,
-    postings, statistics, keywords, context_ids, toc, windows."""
+    postings, statistics, keywords, links, context_ids, toc and index (site map nodes), properties, windows, and the files'
+    text (decoded) and the project's own lines (own) that these come from."""
     is_project = text.fold(F.col("rel")) == name.lower()
     plain = files.where(is_project).select("project", "rel", charset.decode_text("data", F.lit(1252)).alias("data"))
     language = project.options(project.sections(project.lines(plain))).select("project", text.codepage(text.lcid(project.option("language"))).alias("codepage"))
     raw = files.join(language, "project", "left")  # pages that name no character set are in the code page of the language
-    decoded = raw.select("project", "rel", charset.decode_text("data", F.coalesce("codepage", F.lit(1252))).alias("data"))
-    own = project.sections(project.lines(decoded.where(text.fold(F.col("rel")) == name.lower())))
+    # checkpointed, as all relations come from these: their plans stay short, and no page is decoded twice
+    decoded = kept(raw.select("project", "rel", charset.decode_text("data", F.coalesce("codepage", F.lit(1252))).alias("data")))
+    own = kept(project.sections(project.lines(decoded.where(text.fold(F.col("rel")) == name.lower()))))
     chosen = project.options(own)
-    nodes = project.site_maps(decoded)
+    nodes = kept(project.site_maps(decoded))
     edges = site_edges(decoded, nodes)
     maps = chosen.select(F.explode(F.array(project.option("contents file"), project.option("index file"))).alias("value")).where("value <> ''")
     listed = project.listed(own).select("value", "seq").unionByName(maps.select("value", F.lit(1 << 30).alias("seq")))
     seeds = listed.select(text.fold(text.slashes(F.col("value"))).alias("node")).distinct()
     reached = crawl.closure(seeds, edges)
-    present = decoded.withColumn("node", text.fold(F.col("rel"))).join(reached, "node")
+    present = kept(decoded.withColumn("node", text.fold(F.col("rel"))).join(reached, "node"))
     missing = reached.join(decoded.select(text.fold(F.col("rel")).alias("node")), "node", "left_anti")
     pages = present.where(text.is_html_name(F.col("rel")))
     titled = html.titles(pages, "rel", "data").join(pages.select("rel", "depth"), "rel").withColumn("url", F.col("rel"))
-    topics = catalog.topics(titled, ["depth", "rel"])
+    topics = kept(catalog.topics(titled, ["depth", "rel"]))
     words = html.words(html.text_runs(pages, "rel", "data"), "rel")
     by_topic = fts.postings(words, "rel").join(topics.select(F.col("url").alias("rel"), "topic"), "rel").drop("rel")
     objects = html.link_objects(pages, "rel", "data").join(topics.select(F.col("url").alias("rel"), "topic"), "rel")
     uses = objects.where("kind = 'keyword'").select(F.struct("topic", "seq").alias("seq"), F.col("value").alias("keyword"), "topic")
+    links = objects.where("kind = 'alink'").select(F.struct("topic", "seq").alias("seq"), F.col("value").alias("keyword"), "topic")
     return {
+        "decoded": decoded,
+        "own": own,
+        "links": keywords.flat_keywords(links),
+        "properties": project.site_properties(decoded),
+        "index": nodes.where(text.fold(F.col("rel")).endswith(".hhk")),
         "options": chosen,
         "files": present.select("rel", "depth"),
         "missing": missing,
@@ -61,6 +73,61 @@ def compile_project(files: DataFrame, name: str) -> dict[str, DataFrame]:
     }
 
 
+def compile_archive(files: DataFrame, name: str) -> DataFrame:
+    """(archive, data): one project as a whole archive, with its files, record files and index files. files: (project, rel,
+    data binary) at hand; name: its .hhp file. Options say which index files it has.
+
+    Pages, postings and compression are dealt to all tasks; the record files refer to one another by offset, and one task
+    makes them from the relations, a short row for each topic, node and keyword."""
+    found = compile_project(files, name)
+    language = found["options"].select(text.lcid(project.option("language")).alias("lcid"), project.option("charset").alias("charset"), text.truthy(project.option("full-text search")).alias("fts"), text.truthy(project.option("full text search")).alias("fts2"), project.option("contents file").alias("toc_file"), project.option("index file").alias("index_file"))
+    settings = language.withColumn("codepage", F.when(F.col("charset") != "", text.number(F.col("charset"))).otherwise(text.codepage(F.col("lcid")))).first()
+    lcid, codepage, fts_wanted = (int(settings.lcid), int(settings.codepage), settings.fts or settings.fts2) if settings else (0x409, 1252, False)
+    named = lambda df, path: df.where(text.fold(F.col("rel")) == text.fold(text.slashes(F.lit(path))))
+    toc, index = (settings.toc_file, settings.index_file) if settings else ("", "")
+    node = ["node_id", "parent_id", "depth", "params"]
+    lines = lambda section: project.listed(found["own"], section).select("seq", "value")
+    kinds = {
+        "option": found["options"].select(F.explode("options").alias("key", "value")),
+        "topic": found["topics"],
+        "toc": named(found["toc"], toc).select(*node),
+        "index": named(found["index"], index).select(*node),
+        "property": named(found["properties"], toc).select("ordinal", "name", "value"),
+        "keyword": found["keywords"],
+        "link": found["links"],
+        "window": found["windows"].drop("project"),
+        "context": found["context_ids"],
+        "merge": lines("merge files"),
+        "subset": lines("subsets"),
+        "type": lines("information types"),
+    }
+    if fts_wanted:
+        kinds["text"] = found["statistics"].where("total_words > 0").select("total_words")
+    rows = None
+    for kind, df in kinds.items():
+        one = df.select(F.lit(name).alias("archive"), F.lit(kind).alias("kind"), F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("row"))
+        rows = one if rows is None else rows.unionByName(one)
+
+    def make(frame: pd.DataFrame) -> pd.DataFrame:
+        facts: dict[str, list[dict]] = {}
+        for kind, row in zip(frame.kind, frame.row, strict=True):
+            facts.setdefault(kind, []).append(json.loads(row))
+        for each in facts.values():
+            each.sort(key=lambda r: r.get("seq", r.get("ordinal", 0)) or 0)
+        inside, raw = records.project_files(facts, codepage, lcid)
+        out = [(name, True, k, v) for k, v in inside.items()] + [(name, False, k, v) for k, v in raw.items()]
+        return pd.DataFrame(out, columns=["archive", "inside", "name", "data"])
+
+    made = kept(rows.groupBy("archive").applyInPandas(make, "archive string, inside boolean, name string, data binary"))
+    pages = files.join(found["files"], "rel").select(F.lit(name).alias("archive"), F.struct(F.lit(0).alias("part"), "depth", F.col("rel").alias("name")).alias("seq"), F.concat(F.lit("/"), "rel").alias("name"), "data")
+    part = lambda df, n: df.select("archive", F.struct(F.lit(n).alias("part"), F.lit(0).alias("depth"), "name").alias("seq"), "name", "data")
+    everything = pages.unionByName(part(made.where("inside"), 1))
+    if fts_wanted:
+        text_index = index_files.fts_files(found["postings"].withColumn("archive", F.lit(name)), "topic", codepage, lcid)
+        everything = everything.unionByName(part(text_index.withColumn("name", F.lit("/$FIftiMain")), 2))
+    return container.pack(everything, made.where("not inside").select("archive", "name", "data"), lcid)
+
+
 def compile_collection(files: DataFrame, master: str) -> dict[str, DataFrame]:
     """The relations of a master project and of those that it merges, each with the column member. A merged project is
     found beside the master, or in a folder of its name; members without a project file are left out."""

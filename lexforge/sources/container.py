@@ -140,6 +140,32 @@ def extractable(found: DataFrame) -> DataFrame:
     return found.where(F.col("name").startswith("/") & (F.col("length") > 0) & safe).withColumn("relative", relative)
 
 
+def extract(archives: DataFrame, folder: str) -> DataFrame:
+    """(path, name, written, error): every entry that extraction writes, of ``archives`` (path, content), as a file below
+    ``folder`` (a path or URI that driver and executors share) by its relative path. Archives of one run that hold the same
+    name write the same file, so extract each to a folder of its own."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        files, root = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
+        for batch in batches:
+            rows = []
+            for path, name, relative, content in zip(batch.path, batch.name, batch.relative, batch.content, strict=True):
+                try:
+                    target = f"{root}/{relative}"
+                    files.create_dir(target.rpartition("/")[0], recursive=True)
+                    with files.open_output_stream(target) as out:
+                        out.write(bytes(content))
+                    rows.append((path, name, len(content), None))
+                except OSError as e:
+                    rows.append((path, name, None, str(e)))
+            yield pd.DataFrame(rows, columns=["path", "name", "written", "error"]).astype({"written": "Int64"})
+
+    found = extractable(entries(archives, with_content=True)).select("path", "name", "relative", "content")
+    return found.mapInPandas(run, "path string, name string, written bigint, error string")
+
+
 class Partition(InputPartition):
     def __init__(self, path: str):
         self.path = path
@@ -267,9 +293,9 @@ def assemble(files: list[tuple[str, int]], size: int, frames: list[bytes], extra
     return write_container(entries, bytes(raw), b"".join(frames), language)
 
 
-def pack(files: DataFrame) -> DataFrame:
+def pack(files: DataFrame, raw: DataFrame | None = None, language: int = 0x409) -> DataFrame:
     """(archive, data) of ``files`` (archive string, seq, name, data binary): one archive for each name of an archive, with
-    its files in the order of seq."""
+    its files in the order of seq, and with the entries ``raw`` (archive, name, data), if any, that are not compressed."""
     size = F.octet_length("data").cast("bigint")
     order = Window.partitionBy("archive").orderBy("seq", "name")
     placed = files.select("archive", "seq", "name", "data", size.alias("length"), (F.sum(size).over(order) - size).alias("at"))
@@ -294,10 +320,14 @@ def pack(files: DataFrame) -> DataFrame:
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for names, intervals in zip(batch.files, batch.intervals, strict=True):
+            extras = batch.extras if "extras" in batch else [None] * len(batch)
+            for names, intervals, extra in zip(batch.files, batch.intervals, extras, strict=True):
                 each = [(f["name"], int(f["length"])) for f in names]
                 frames = [bytes(x) for i in (intervals if intervals is not None else []) for x in i["frames"]]
-                out.append(assemble(each, sum(n for _, n in each), frames))
+                out.append(assemble(each, sum(n for _, n in each), frames, {x["name"]: bytes(x["data"]) for x in extra} if extra is not None else None, language))
             yield pd.DataFrame({"archive": batch.archive, "data": out})
 
-    return listed.join(streams, "archive", "left").mapInPandas(build, "archive string, data binary")
+    listed = listed.join(streams, "archive", "left")
+    if raw is not None:
+        listed = listed.join(raw.groupBy("archive").agg(F.array_sort(F.collect_list(F.struct("name", "data"))).alias("extras")), "archive", "left")
+    return listed.mapInPandas(build, "archive string, data binary")

@@ -184,6 +184,18 @@ def site_maps(files: DataFrame) -> DataFrame:
     return maps.select("project", "rel", "data").mapInPandas(run, f"project string, rel string, node_id int, parent_id int, ordinal int, depth int, params {PARAMS}")
 
 
+def site_properties(files: DataFrame) -> DataFrame:
+    """(project, rel, ordinal, name, value) of the properties of the site maps among ``files`` (project, rel, data)."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [(project, rel, i, *x) for project, rel, data in zip(batch.project, batch.rel, batch.data, strict=True) for i, x in enumerate(parse_site_map(data or "")[1])]
+            yield pd.DataFrame(rows, columns=["project", "rel", "ordinal", "name", "value"])
+
+    maps = files.where(text.fold(F.col("rel")).rlike("\\.hh[ck]$"))
+    return maps.select("project", "rel", "data").mapInPandas(run, "project string, rel string, ordinal int, name string, value string")
+
+
 def param(name: str):
     """The first value of a parameter; empty without one."""
     return F.coalesce(F.get(F.filter("params", lambda p: p["name"] == name), F.lit(0))["value"], F.lit(""))

@@ -142,3 +142,34 @@ def test_lenient_utf8_is_linear_and_right():
 
     assert charset.utf8_lenient(b"a\xe9b\xc3\xa9\xff") == "aébéÿ"
     assert len(charset.utf8_lenient(b"\xe9" * 400_000)) == 400_000
+
+
+def test_a_project_becomes_an_archive(spark, tmp_path):
+    from lexforge.functions import index_bytes, records
+
+    hhp = HHP.replace("Title=Old", "Title=Old\nFull-text search=Yes\nBinary TOC=Yes\nBinary Index=Yes\nLanguage=0x407").replace("Index file=words.hhk\n", "Index file=words.hhk\n") + "[SUBSETS]\none\ntwo\n[MERGE FILES]\nshed.chm\n"
+    source = FILES | {"garden.hhp": hhp}
+    files = spark.createDataFrame([("p", k, bytearray(v.encode())) for k, v in source.items()], "project string, rel string, data binary")
+    made = plans.compile_archive(files, "garden.hhp").selectExpr("archive as path", "data as content").cache()
+    got = {r.name: r for r in container.entries(made, with_content=True).collect()}
+    assert all(r.error is None for r in got.values())
+    wanted = {"/#IVB", "/#TOPICS", "/#URLSTR", "/#URLTBL", "/#TOCIDX", "/#WINDOWS", "/#SUBSETS", "/#IDXHDR", "/#STRINGS", "/#SYSTEM", "/$FIftiMain", "/#ITBITS", *(f"/$WWKeywordLinks/{x}" for x in ("BTree", "Data", "Map", "Property")), "/$WWAssociativeLinks/Property"}
+    assert wanted | {f"/{n}" for n in ("plots.hhc", "words.hhk", "gate.htm", "beds.htm", "paint.css")} <= set(got)
+    assert "/unused.htm" not in got and bytes(got["/beds.htm"].content) == source["beds.htm"].encode()
+    data = {n: bytes(r.content or b"") for n, r in got.items()}
+    assert [x[0] for x in index_bytes.read_keywords(data["/$WWKeywordLinks/BTree"])] == ["arrival", "Deep soil"]
+    words = {(w, c): list(index_bytes.read_pages(d, n)) for w, c, n, d in index_bytes.read_fts(data["/$FIftiMain"])}
+    assert words["hello", 0] == [(0, [1]), (1, [3])] and words["rose", 1] == [(1, [0])]
+    assert data["/#IDXHDR"][28:32] == b"\1\0\0\0" and b"shed.chm\0" in data["/#STRINGS"] and b"Garden, plan\0" in data["/#STRINGS"]
+    assert data["/#SYSTEM"].count(b"New\0") == 1 and len(data["/#SUBSETS"]) == 28 and len(data["/#WINDOWS"]) == 204
+    assert len(data["/#TOPICS"]) == 4 * 16 and records.struct.unpack_from("<I", data["/#TOPICS"])[0] == 4096
+    folder = tmp_path / "out"
+    done = container.extract(made, f"file://{folder}").collect()
+    assert done and all(r.error is None for r in done)
+    assert (folder / "gate.htm").read_bytes() == source["gate.htm"].encode() and (folder / "$WWKeywordLinks" / "Map").read_bytes() == data["/$WWKeywordLinks/Map"]
+
+
+def test_index_files_only_where_options_ask(spark, files):
+    made = plans.compile_archive(files, "garden.hhp").selectExpr("archive as path", "data as content")
+    names = {r.name for r in container.entries(made).collect()}
+    assert not names & {"/$FIftiMain", "/#TOCIDX", "/#IDXHDR", "/#SUBSETS"} and {"/#STRINGS", "/#TOPICS", "/$WWKeywordLinks/BTree"} <= names
