@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexforge.llm import arc, bpe, langid, minhash, mixing, quality, tokens, toxicity, urls, webp
-from lexforge.llm.store import shared_dir
+from lexforge.llm.store import shared_dir, written
 
 #: The id that ends each document in token files.
 END_ID = 2
@@ -31,7 +31,7 @@ def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_lossless_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return webp.measured(webp.stored(table(spark, sf_dir, "documents")))
+    return webp.measured(written(webp.stored(table(spark, sf_dir, "documents"))))
 
 
 def op3_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,19 +2,21 @@
 
 The decoder reads RIFF containers, prefix codes (simple and normal, with groups chosen by an entropy image), literals,
 back-references with the two-dimensional distance map, colour caches, and inverts the predictor, cross-colour,
-subtract-green and palette transforms (with bundled pixels). Where every green code has one length and the other channels
-have one symbol, as in the images of ``store``, pixels are decoded by array operations; else symbol by symbol.
-
-``store`` keeps payloads of bytes as grey images: rows of 64 pixels, or a multiple of it where there are more than 16384
-rows (then zero pixels fill the last row), the byte in green, and subtract-green to make red and blue equal. Payloads of
-more than one image can hold are a row of RIFF files. A null text is an empty one: a payload of 64 zero bytes. Repeated
-rows get a row each; other columns are not read.
+subtract-green and palette transforms (with bundled pixels). Images with one group of codes are decoded by tables and array
+operations (``_by_tables``), those with several groups symbol by symbol.
+
+``store`` keeps payloads of bytes as grey images: rows of 64 pixels, at most 16384 of them, the byte in each channel. Each
+image has prefix codes of its own and back-references; by its content it takes a palette with bundled pixels (at most 16
+different bytes), the predictor of the left neighbour (differences have less entropy than bytes), or neither, and
+subtract-green makes red and blue equal. Larger payloads are a row of RIFF files. A null text is an empty one: a payload
+of 64 zero bytes. Repeated rows get a row each; other columns are not read.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
-import heapq
+import itertools
 import struct
 import zlib
 from collections import Counter
@@ -50,45 +52,57 @@ class Bits:
     def __init__(self, data: bytes):
         self.data, self.at = data, 0
 
-    def read(self, n: int) -> int:
+    def peek(self, n: int) -> int:
         a = self.at
-        if a + n > 8 * len(self.data):
-            raise ValueError("the image ends within its data")
-        self.at = a + n
         return int.from_bytes(self.data[a >> 3 : (a + n + 7) >> 3], "little") >> (a & 7) & ((1 << n) - 1)
 
+    def skip(self, n: int) -> None:
+        self.at += n
+        if self.at > 8 * len(self.data):
+            raise ValueError("the image ends within its data")
+
+    def read(self, n: int) -> int:
+        out = self.peek(n)
+        self.skip(n)
+        return out
+
+
+@functools.cache
+def _reversed(n: int) -> np.ndarray:
+    """Each number of n bits, its bits in reverse order."""
+    out = np.zeros(1, np.int64)
+    for _ in range(n):
+        out = np.concatenate([2 * out, 2 * out + 1])
+    return out
+
 
 class Code:
-    """A canonical prefix code, given by the code length of each symbol."""
+    """A canonical prefix code, given by the code length of each symbol, as a table: the next ``most`` bits of a stream
+    lead to 16 times the symbol plus the length of its code."""
 
     def __init__(self, lengths: dict[int, int]):
-        self.lengths = lengths
-        if len(lengths) == 1:
-            self.only: int | None = next(iter(lengths))
+        self.only = next(iter(lengths)) if len(lengths) == 1 else None
+        if self.only is not None:
+            self.most, self.table = 0, np.array([self.only << 4], np.int32)
             return
-        self.only, self.codes, code, last = None, {}, 0, 0
-        for length, symbol in sorted((n, s) for s, n in lengths.items()):
-            code <<= length - last
-            last = length
-            self.codes[length, code] = symbol
-            code += 1
-        if not lengths or code != 1 << last:
+        if not lengths:
+            raise ValueError("a prefix code without symbols")
+        order = sorted([n << 16 | s for s, n in lengths.items()])
+        self.most = order[-1] >> 16
+        each = np.array(order)
+        spans = 1 << self.most - (each >> 16)
+        if spans.sum() != 1 << self.most:
             raise ValueError("the prefix code is not complete")
+        self.table = np.repeat(((each & 0xFFFF) << 4 | each >> 16).astype(np.int32), spans).take(_reversed(self.most))
 
-    def read(self, bits: Bits) -> int:
-        if self.only is not None:
-            return self.only
-        code = length = 0
-        while length < 15:
-            code, length = code << 1 | bits.read(1), length + 1
-            if (symbol := self.codes.get((length, code))) is not None:
-                return symbol
-        raise ValueError("no such prefix code")
+    @functools.cached_property
+    def entries(self) -> list[int]:
+        return self.table.tolist()
 
-    def even(self) -> int:
-        """The length that all symbols share; 0 if there is none."""
-        each = set(self.lengths.values()) if self.only is None else set()
-        return each.pop() if len(each) == 1 else 0
+    def read(self, bits: Bits) -> int:
+        entry = self.entries[bits.peek(self.most)]
+        bits.skip(entry & 15)
+        return entry >> 4
 
 
 def read_code(bits: Bits, size: int) -> Code:
@@ -105,19 +119,27 @@ def read_code(bits: Bits, size: int) -> Code:
     left = 2 + bits.read(2 + 2 * bits.read(3)) if bits.read(1) else size
     out: dict[int, int] = {}
     symbol, last = 0, 8
+    entries, mask, ahead = of_lengths.entries, (1 << of_lengths.most) - 1, bits.peek(14 * size)
+    used = 0
     while symbol < size and left:
         left -= 1
-        x = of_lengths.read(bits)
+        entry = entries[ahead & mask]
+        ahead >>= entry & 15
+        used += entry & 15
+        x = entry >> 4
         if x < 16:
             if x:
                 out[symbol] = last = x
             symbol += 1
-        elif x == 16:
-            n = 3 + bits.read(2)
+            continue
+        n, extra = (3, 2) if x == 16 else (3, 3) if x == 17 else (11, 7)
+        n += ahead & ((1 << extra) - 1)
+        ahead >>= extra
+        used += extra
+        if x == 16:
             out |= dict.fromkeys(range(symbol, symbol + n), last)
-            symbol += n
-        else:
-            symbol += 3 + bits.read(3) if x == 17 else 11 + bits.read(7)
+        symbol += n
+    bits.skip(used)
     if symbol > size:
         raise ValueError("more code lengths than symbols")
     return Code(out or {0: 0})
@@ -154,8 +176,8 @@ def _head_of(bits: Bits, width: int, height: int, main: bool) -> tuple[int, np.n
 
 def _pixels(bits: Bits, width: int, height: int, cache_bits: int, choose: np.ndarray | None, size: int, codes: list[list[Code]]) -> np.ndarray:
     n, (green, *rest) = width * height, codes[0]
-    if len(codes) == 1 and not cache_bits and green.even() and max(green.lengths) < 256 and all(c.only is not None for c in rest[:3]):
-        return _even_pixels(bits, green, rest[0].only << 16 | rest[1].only | rest[2].only << 24, n)
+    if len(codes) == 1 and (whole := _by_tables(bits, width, n, cache_bits, codes[0])) is not None:
+        return whole
     out, cache, k, across = [0] * n, [0] * (1 << cache_bits), 0, _blocks(width, size)
 
     def put(pixel: int) -> None:
@@ -191,18 +213,138 @@ def _pixels(bits: Bits, width: int, height: int, cache_bits: int, choose: np.nda
     return np.array(out, np.uint32)
 
 
-def _even_pixels(bits: Bits, green: Code, others: int, n: int) -> np.ndarray:
-    length, out = green.even(), np.empty(n, np.uint32)
-    if bits.at + n * length > 8 * len(bits.data):
-        raise ValueError("the image ends within its data")
-    symbols, data = np.array(sorted(green.lengths), np.uint32), np.frombuffer(bits.data, np.uint8)
-    for a in range(0, n, 1 << 18):
-        m = min(1 << 18, n - a)
-        begin = bits.at + a * length
-        raw = np.unpackbits(data[begin >> 3 : (begin + m * length + 7) >> 3], bitorder="little")[begin & 7 :][: m * length]
-        out[a : a + m] = symbols[np.packbits(raw.reshape(m, length), axis=1)[:, 0] >> (8 - length)] if length <= 8 else symbols[raw.reshape(m, length) @ (1 << np.arange(length)[::-1])]
-    bits.at += n * length
-    return out << 8 | np.uint32(others)
+#: Bytes of a stream whose bit positions are looked up at once.
+WINDOW = 1 << 13
+_EIGHT = np.arange(8)
+#: Extra bits of a length or distance prefix, and the least number that it stands for.
+_EXTRA = np.array([0, 0] + [(p - 2) >> 1 for p in range(2, 40)])
+_LEAST = np.array([1, 2] + [((2 + (p & 1)) << ((p - 2) >> 1)) + 1 for p in range(2, 40)])
+
+
+def _by_tables(bits: Bits, width: int, n: int, cache_bits: int, codes: list[Code]) -> np.ndarray | None:
+    """The n pixels of an image with one group of codes.
+
+    A token's length in bits is looked up at every bit of a window, as if a token began there; then the tokens that do
+    begin there are walked from one to the next. References and cache hits become the place of an earlier pixel, and
+    places are followed back to literals, all pixels at once. None, with nothing read, for two odd streams: one whose only
+    green symbol is no literal, and hits on a cache entry that nothing was put into.
+    """
+    green, red, blue, alpha, far = codes
+    colours = ((red, 16), (blue, 0), (alpha, 24))
+    if green.only is not None:
+        if green.only >= 256:
+            return None
+        if all(c.only is not None for c, _ in colours):
+            return np.full(n, green.only << 8 | sum(c.only << shift for c, shift in colours), np.uint32)
+    plain = sum(c.only << shift for c, shift in colours if c.only is not None)
+    near = np.maximum(1, [x + y * width for x, y in NEAR])
+    data, at, found, parts = bits.data + bytes(48), bits.at, 0, []
+    longest = green.most + max(red.most + blue.most + alpha.most, far.most + 32)
+    while found < n:
+        first = at >> 3
+        size = min(WINDOW, (n - found) * longest // 8 + 2, len(bits.data) - first)
+        if size <= 0:
+            raise ValueError("the image ends within its data")
+        words = np.ndarray((size,), "<u4", data, first, (1,))
+        wide = np.ndarray((size + 24,), "<u8", data, first, (1,))
+
+        def ahead(p: np.ndarray, m, wide=wide) -> np.ndarray:
+            return (wide[p >> 3] >> (p & 7).astype(np.uint64)).astype(np.int64) & ((1 << m) - 1)
+
+        entry = green.table.take(((words.astype(np.int64)[:, None] >> _EIGHT) & ((1 << green.most) - 1)).ravel())
+        length = entry & 15
+        copies = np.flatnonzero(entry >= 256 << 4)
+        if cache_bits:
+            copies = copies[entry[copies] < 280 << 4]
+        value = None
+        if any(c.only is None for c, _ in colours):
+            literals = np.flatnonzero(entry < 256 << 4)
+            p, value = literals + length[literals], entry.astype(np.int64) >> 4
+            value[literals] = value[literals] << 8 | plain
+            for c, shift in colours:
+                if c.only is None:
+                    e = c.table[ahead(p, c.most)]
+                    p = p + (e & 15)
+                    value[literals] |= (e >> 4).astype(np.int64) << shift
+            length[literals] = p - literals
+        if len(copies):
+            prefix = (entry[copies] >> 4) - 256
+            p = copies + length[copies]
+            runs = _LEAST[prefix] + ahead(p, _EXTRA[prefix])
+            p = p + _EXTRA[prefix]
+            e = far.table[ahead(p, far.most)]
+            p, prefix = p + (e & 15), e >> 4
+            back = _LEAST[prefix] + ahead(p, _EXTRA[prefix])
+            length[copies] = p + _EXTRA[prefix] - copies
+        begun = _walk(np.arange(8 * size) + length, at - 8 * first)
+        kind = entry[begun] >> 4
+        counts, places = np.ones(len(begun), np.int64), np.zeros(len(begun), np.int64)
+        values = value[begun] if value is not None else kind.astype(np.int64) << 8 | plain
+        own = np.flatnonzero((kind >= 256) & (kind < 280))
+        if len(own):
+            which = np.searchsorted(copies, begun[own])
+            counts[own], d = runs[which], back[which]
+            places[own] = np.where(d > 120, d - 120, near[np.minimum(d, 120) - 1])
+        if cache_bits:
+            hit = kind >= 280
+            places[hit], values[hit] = -1, kind[hit] - 280
+        ends = found + np.cumsum(counts)
+        last = int(np.searchsorted(ends, n))
+        if last < len(begun) and ends[last] > n:
+            raise ValueError("a back-reference leaves the image")
+        parts.append((counts[: last + 1], places[: last + 1], values[: last + 1]))
+        last = min(last, len(begun) - 1)
+        found, at = int(ends[last]), 8 * first + int(begun[last] + length[begun[last]])
+        if at > 8 * len(bits.data):
+            raise ValueError("the image ends within its data")
+    counts, places, values = (np.concatenate(x) for x in zip(*parts, strict=True))
+    if not places.any():
+        out = values.astype(np.uint32)
+    elif (out := _resolved(n, counts, places, values, cache_bits)) is None:
+        return None
+    bits.at = at
+    return out
+
+
+def _walk(after: np.ndarray, at: int) -> np.ndarray:
+    """at, after[at], after[after[at]] and so on, up to the end of ``after``."""
+    n, each, path = len(after), memoryview(after), []
+    while at < n:
+        path.append(at)
+        at = each[at]
+    return np.array(path)
+
+
+def _resolved(n: int, counts: np.ndarray, places: np.ndarray, values: np.ndarray, cache_bits: int) -> np.ndarray | None:
+    """Pixels of tokens. places: 0 for literals, the distance for references, -1 for cache hits (values: the entry)."""
+    begin = np.cumsum(counts) - counts
+    if (places > begin).any():
+        raise ValueError("a back-reference leaves the image")
+    literal = places == 0
+    out = np.zeros(n, np.uint32)
+    out[begin[literal]] = values[literal]
+    source = _followed(np.arange(n) - np.repeat(np.maximum(places, 0), counts))
+    if len(hits := begin[places < 0]):
+        entry = np.zeros(n, np.int64)
+        entry[begin[literal]] = (values[literal] * CACHE_FACTOR & 0xFFFFFFFF) >> (32 - cache_bits)
+        entry[hits] = values[places < 0]
+        entry = entry[source]
+        order = np.argsort(entry, kind="stable")
+        before = np.full(n, -1)
+        before[order[1:]] = np.where(entry[order[1:]] == entry[order[:-1]], order[:-1], -1)
+        if (before[hits] < 0).any():
+            return None
+        source[hits] = before[hits]
+        source = _followed(source)
+    return out[source]
+
+
+def _followed(source: np.ndarray) -> np.ndarray:
+    while True:
+        further = source[source]
+        if (further == source).all():
+            return source
+        source = further
 
 
 def _split(x: np.ndarray) -> np.ndarray:
@@ -252,6 +394,11 @@ def _predicted(pixels: list[list[int]], k: int, width: int, modes: np.ndarray, s
 
 
 def undo_predictor(argb: np.ndarray, width: int, modes: np.ndarray, size: int) -> np.ndarray:
+    if (modes == 1).all():  # sums down the first column, then along each row
+        x = _split(argb.reshape(-1, width))
+        x[0, 0] += [255, 0, 0, 0]
+        x[:, 0] = np.cumsum(x[:, 0], 0)
+        return _join(np.cumsum(x, 1)).ravel()
     out = _split(argb).tolist()
     for k, residual in enumerate(out):
         out[k] = [(r + p) & 255 for r, p in zip(residual, _predicted(out, k, width, modes, size), strict=True)]
@@ -312,10 +459,6 @@ def _transforms(bits: Bits, width: int, height: int) -> tuple[list[tuple], int]:
     return undo, now
 
 
-#: Openings of images met lately (transforms and prefix codes, without side images) and what they say.
-_SEEN: dict[bytes, tuple] = {}
-
-
 def decode(data: bytes) -> np.ndarray:
     """The pixels, as ARGB numbers in rows, of one RIFF file or bare VP8L bitstream."""
     if data[:4] == b"RIFF":
@@ -332,17 +475,8 @@ def decode(data: bytes) -> np.ndarray:
     bits.read(1)
     if bits.read(3):
         raise ValueError("unknown version")
-    for opening, (undo, head, end) in _SEEN.items():
-        if data[5:].startswith(opening[:-1], 0, len(opening)) and (data[4 + len(opening)] ^ opening[-1]) & ((1 << (end & 7)) - 1) == 0:
-            bits.at, now = end, width
-            break
-    else:
-        undo, now = _transforms(bits, width, height)
-        head = _head_of(bits, now, height, True)
-        if all(kind == SUBTRACT_GREEN for kind, *_ in undo) and head[1] is None:  # no side image, so for any size
-            while len(_SEEN) >= 8:
-                _SEEN.pop(next(iter(_SEEN)))
-            _SEEN[bytes(data[5 : (bits.at >> 3) + 1])] = ([(k, None, None, 0) for k, *_ in undo], head, bits.at)
+    undo, now = _transforms(bits, width, height)
+    head = _head_of(bits, now, height, True)
     out = _pixels(bits, now, height, *head)
     for kind, across, side, size in reversed(undo):
         if kind == PREDICTOR:
@@ -360,30 +494,41 @@ class Writer:
     """Writes bits, least significant first."""
 
     def __init__(self) -> None:
-        self.bits: list[int] = []
+        self.parts: list[str] = []
 
     def put(self, value: int, n: int) -> None:
-        self.bits += [value >> k & 1 for k in range(n)]
+        self.parts.append(f"{value:0{n}b}"[::-1] if n else "")
 
     def code(self, value: int, n: int) -> None:
-        self.bits += [value >> k & 1 for k in reversed(range(n))]
+        self.parts.append(f"{value:0{n}b}" if n else "")
 
     def array(self) -> np.ndarray:
-        return np.array(self.bits, np.uint8)
+        return np.frombuffer("".join(self.parts).encode(), np.uint8) - 48
 
 
-def code_lengths(counts: Counter, most: int = 15) -> dict[int, int]:
+def code_lengths(counts: dict[int, int], most: int = 15) -> dict[int, int]:
     """Lengths of a Huffman code of at most ``most`` bits; small counts are raised until it fits."""
-    floor = 1
+    m, floor = len(counts), 1
+    if m < 2:
+        return dict.fromkeys(counts or [0], 0)
     while True:
-        heap = [(max(n, floor), s, {s: 0}) for s, n in sorted(counts.items())]
-        heapq.heapify(heap)
-        while len(heap) > 1:
-            (a, s, x), (b, _, y) = heapq.heappop(heap), heapq.heappop(heap)
-            heapq.heappush(heap, (a + b, s, {k: v + 1 for k, v in (x | y).items()}))
-        lengths = heap[0][2] if heap else {0: 0}
-        if max(lengths.values()) <= most:
-            return lengths
+        leaves = sorted((max(n, floor), s) for s, n in counts.items())
+        weights, above, leaf, inner = [n for n, _ in leaves], [0] * (2 * m - 1), 0, m
+        for k in range(m, 2 * m - 1):
+            total = 0
+            for _ in range(2):
+                if leaf < m and (inner >= k or weights[leaf] <= weights[inner]):
+                    one, leaf = leaf, leaf + 1
+                else:
+                    one, inner = inner, inner + 1
+                above[one] = k
+                total += weights[one]
+            weights.append(total)
+        depth = [0] * (2 * m - 1)
+        for k in range(2 * m - 3, -1, -1):
+            depth[k] = depth[above[k]] + 1
+        if max(depth) <= most:
+            return {s: depth[k] for k, (_, s) in enumerate(leaves)}
         floor *= 2
 
 
@@ -397,7 +542,10 @@ def write_code(out: Writer, lengths: dict[int, int], size: int) -> dict[int, tup
         return {symbol: (0, 0)}
     if len(lengths) == 1:  # a code for one symbol beyond 255 needs a second symbol
         lengths = {0: 1, **dict.fromkeys(lengths, 1)}
-    tokens = _runs([lengths.get(s, 0) for s in range(size)])
+    each = [0] * size
+    for symbol, n in lengths.items():
+        each[symbol] = n
+    tokens = _runs(each)
     of = code_lengths(Counter(v for v, _, _ in tokens), 7)
     if len(of) == 1:
         of = {**dict.fromkeys(of, 1), (0 if min(of) else 1): 1}
@@ -408,21 +556,19 @@ def write_code(out: Writer, lengths: dict[int, int], size: int) -> dict[int, tup
     for v in order[:n]:
         out.put(v, 3)
     out.put(0, 1)
-    codes = canonical_codes(of)
+    codes = {v: f"{code:0{n}b}" for v, (code, n) in canonical_codes(of).items()}
     for v, extra, bits in tokens:
-        out.code(*codes[v])
-        out.put(extra, bits)
+        out.parts.append(codes[v])
+        if bits:
+            out.put(extra, bits)
     return canonical_codes(lengths)
 
 
 def _runs(each: list[int]) -> list[tuple[int, int, int]]:
     """Code lengths as (token, extra bits, their number): a length, or 16 to 18 for a run."""
-    out, k = [], 0
-    while k < len(each):
-        v, n = each[k], 1
-        while k + n < len(each) and each[k + n] == v:
-            n += 1
-        k += n
+    out = []
+    for v, run in itertools.groupby(each):
+        n = len(list(run))
         if v:
             out.append((v, 0, 0))
             n -= 1
@@ -566,20 +712,143 @@ def encode(argb: np.ndarray, transforms: list[tuple] = (), cache_bits: int = 0,
     return _riff(np.packbits(out.array(), bitorder="little").tobytes())
 
 
-_OPENINGS: dict[int, np.ndarray] = {}
+#: Most bits of a prefix code in a stored image, which keeps the decoder's tables small.
+CODE_BITS = 12
+#: References shorter than this cost more than the literals that they replace.
+LEAST_RUN = 5
 
 
-def _opening(length: int) -> np.ndarray:
-    """The bits between the size and the pixels of a grey image whose 2 ** length green symbols have codes of one length."""
-    if length not in _OPENINGS:
-        out = Writer()
-        for value, n in ((1, 1), (SUBTRACT_GREEN, 2), (0, 1), (0, 1), (0, 1)):
-            out.put(value, n)
-        write_code(out, dict.fromkeys(range(1 << length), length), 280)
-        for symbol, size in ((0, 256), (0, 256), (255, 256), (0, 40)):
-            write_code(out, {symbol: 0}, size)
-        _OPENINGS[length] = out.array()
-    return _OPENINGS[length]
+@functools.cache
+def _near_codes(width: int) -> np.ndarray:
+    """The distance code of each distance that the map of near pixels has, by distance; 0 for others."""
+    each = [max(1, x + y * width) for x, y in NEAR]
+    out = np.zeros(max(each) + 1, np.int64)
+    for code in range(len(each), 0, -1):
+        out[each[code - 1]] = code
+    return out
+
+
+def _prefixes(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``prefix_of`` of an array."""
+    prefix = np.searchsorted(_LEAST, values, side="right") - 1
+    return prefix, values - _LEAST[prefix], _EXTRA[prefix]
+
+
+def _references(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Tokens (first byte, length, distance; 0 for a literal) of a greedy parse. A byte's candidate is the last place
+    where its four bytes came before; it goes on while the bytes that follow have a candidate at the same distance."""
+    n = len(x)
+    back = np.zeros(n, np.int64)
+    if n > 4:
+        words = np.ndarray((n - 3,), "<u4", np.ascontiguousarray(x), 0, (1,))
+        keys = np.sort(words.astype(np.uint64) << np.uint64(32) | np.arange(n - 3, dtype=np.uint64))
+        place = (keys & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        same = np.flatnonzero(keys[1:] >> np.uint64(32) == keys[:-1] >> np.uint64(32))
+        back[place[same + 1]] = place[same + 1] - place[same]
+    edges = np.concatenate([[0], np.flatnonzero(back[1:] != back[:-1]) + 1, [n]])
+    run = np.minimum(np.repeat(edges[1:], np.diff(edges)) - np.arange(n) + 3, 4096)
+    run[(back == 0) | (run < LEAST_RUN)] = 1
+    some = np.flatnonzero(run > 1)
+    taken, end = [], 0
+    for k, length in zip(some.tolist(), run[some].tolist(), strict=True):
+        if k >= end:
+            taken.append(k)
+            end = k + length
+    inner = np.zeros(n + 1, np.int64)  # bytes of references but their first
+    taken = np.array(taken, np.int64)
+    inner[taken + 1] += 1
+    inner[taken + run[taken]] -= 1
+    at = np.flatnonzero(np.cumsum(inner[:n]) == 0)
+    first = np.zeros(n, bool)
+    first[taken] = True
+    return at, np.where(first[at], run[at], 1), np.where(first[at], back[at], 0)
+
+
+def _code_arrays(codes: dict[int, tuple[int, int]], size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Codes, first bit lowest, and their lengths, by symbol."""
+    value, length = np.zeros(size, np.int64), np.zeros(size, np.int64)
+    symbols = list(codes)
+    code, n = np.array(list(codes.values())).T
+    value[symbols], length[symbols] = _reversed(15)[code] >> 15 - n, n
+    return value, length
+
+
+def _counted(symbols: np.ndarray) -> dict[int, int]:
+    counts = np.bincount(symbols)
+    some = np.flatnonzero(counts)
+    return dict(zip(some.tolist(), counts[some].tolist(), strict=True))
+
+
+def _entropy(x: np.ndarray) -> float:
+    counts = np.bincount(x)
+    counts = counts[counts > 0]
+    return float((counts * np.log2(len(x) / counts)).sum())
+
+
+def _image(x: np.ndarray) -> bytes:
+    """A RIFF file of grey pixels in rows of 64."""
+    rows = x.reshape(-1, 64)
+    out, width = _head(64, len(rows)), 64
+    colours = np.flatnonzero(np.bincount(x, minlength=256))
+    if len(colours) <= 16:
+        out.put(1 | PALETTE << 1, 3)
+        out.put(len(colours) - 1, 8)
+        table = colours.astype(np.uint32) * np.uint32(0x10101) | np.uint32(BLACK)
+        write_pixels(out, _join(np.diff(_split(table), axis=0, prepend=0)), len(table), False)
+        bits = bundle_bits(len(colours))
+        width >>= bits
+        index = np.searchsorted(colours, rows).reshape(-1, width, 1 << bits)
+        x = (index << np.arange(1 << bits) * (8 >> bits)).sum(2).astype(np.uint8).ravel()
+    else:
+        steps = rows.copy()
+        steps[:, 1:] -= rows[:, :-1]
+        steps[1:, 0] -= rows[:-1, 0]
+        if _entropy(steps.ravel()) < _entropy(x):
+            x = steps.ravel()
+            out.put(1 | PREDICTOR << 1, 3)
+            out.put(7, 3)
+            side = _blocks(len(rows), 9)
+            write_pixels(out, np.full(side, 1 << 8 | BLACK, np.uint32), 1, False)
+            alpha = 0
+        else:
+            alpha = 255
+        out.put(1 | SUBTRACT_GREEN << 1, 3)
+    if len(colours) <= 16:
+        alpha = 255
+    out.put(0, 1)
+    out.put(0, 2)  # no cache, one group of codes
+    at, run, distance = _references(x)
+    copies = np.flatnonzero(distance)
+    symbol = x[at].astype(np.int64)
+    run_prefix, run_rest, run_bits = _prefixes(run[copies])
+    symbol[copies] = 256 + run_prefix
+    near, d = _near_codes(width), distance[copies]
+    known = near[np.minimum(d, len(near) - 1)] * (d < len(near))
+    prefix, rest, rest_bits = _prefixes(np.where(known > 0, known, d + 120))
+    code, length = _code_arrays(write_code(out, code_lengths(_counted(symbol), CODE_BITS), 280), 280)
+    for one in (0, 0, alpha):
+        write_code(out, {one: 0}, 256)
+    far, far_bits = _code_arrays(write_code(out, code_lengths(_counted(prefix), CODE_BITS), 40), 40)
+    value, size = code[symbol], length[symbol]
+    for more, bits in ((run_rest, run_bits), (far[prefix], far_bits[prefix]), (rest, rest_bits)):
+        value[copies] |= more << size[copies]
+        size[copies] += bits
+    return _riff(_packed(out.array(), value.astype(np.uint64), size))
+
+
+def _packed(head: np.ndarray, value: np.ndarray, size: np.ndarray) -> bytes:
+    """The bits of ``head``, then of the values (at most 56 bits each), least significant first."""
+    ends = len(head) + np.cumsum(size)
+    begin = ends - size
+    value, place, n = value << (begin & 7).astype(np.uint64), begin >> 3, int(ends[-1] + 7) >> 3
+    out = np.zeros(n + 8)
+    for k in range((int(size.max()) + 14) >> 3):  # the bits of no two values meet, so sums are unions
+        if k == 3:  # few tokens are longer
+            long = np.flatnonzero(size > 17)
+            place, value = place[long], value[long]
+        out += np.bincount(place + k, (value >> np.uint64(8 * k)) & np.uint64(255), n + 8)
+    out[: (len(head) + 7) >> 3] += np.packbits(head, bitorder="little")
+    return out[:n].astype(np.uint8).tobytes()
 
 
 def padded(n: int) -> int:
@@ -589,25 +858,7 @@ def padded(n: int) -> int:
 
 def store(payload: np.ndarray) -> bytes:
     """A payload (bytes, a positive multiple of 64) as grey images."""
-    out = []
-    for a in range(0, len(payload), SIDE * SIDE):
-        x = payload[a : a + SIDE * SIDE]
-        width = 64 * -(-(len(x) // 64) // SIDE)
-        height = -(-len(x) // width)
-        if width * height > len(x):
-            x = np.concatenate([x, np.zeros(width * height - len(x), np.uint8)])
-        length = 7 if x.max() < 128 else 8
-        size = 0x2F | (width - 1) << 8 | (height - 1) << 22 | 1 << 36
-        opening = _opening(length)
-        parts, held = [], opening
-        for b in range(0, len(x), 1 << 18):
-            codes = np.unpackbits((x[b : b + (1 << 18)] << (8 - length)).astype(np.uint8)[:, None], axis=1)[:, :length].ravel()
-            held = np.concatenate([held, codes])
-            whole = len(held) & ~7
-            parts.append(np.packbits(held[:whole], bitorder="little").tobytes())
-            held = held[whole:]
-        out.append(_riff(size.to_bytes(5, "little") + b"".join(parts) + np.packbits(held, bitorder="little").tobytes()))
-    return b"".join(out)
+    return b"".join(_image(payload[a : a + 64 * SIDE]) for a in range(0, len(payload), 64 * SIDE))
 
 
 def load(media: bytes, n: int) -> np.ndarray:
@@ -646,7 +897,8 @@ def stored(docs: DataFrame) -> DataFrame:
 
 
 def measured(media: DataFrame) -> DataFrame:
-    """What the stored images of ``media`` (doc_id, n_bytes, media) hold, read back: sizes, digests and a feature."""
+    """What the stored images of ``media`` (doc_id, n_bytes, media), read from where they were written, hold: sizes,
+    digests and a feature."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]

@@ -1,8 +1,10 @@
 """Encoders and decoders against libraries, other encoders and round trips."""
 
+import base64
 import hashlib
 import os
 import random
+import struct
 import zlib
 
 import numpy as np
@@ -11,6 +13,7 @@ import pytest
 
 from lexforge.llm import arc, bpe, flat, tokens, webp
 from lexforge.llm.queries import END_ID, tokenizer
+from lexforge.llm.store import written
 
 os.environ["TOKENIZERS_PARALLELISM"] = "false"
 
@@ -136,7 +139,7 @@ def images():
         yield trial, r, webp._join([r.integers(0, 256, (h, w, 4)), slope % 256, r.integers(0, 2 + trial, (h, w, 1)) * np.array([1, 2, 3, 4])][trial % 3])
 
 
-def test_webp_transforms_caches_references_and_groups():
+def test_webp_transforms_caches_references_and_groups(monkeypatch):
     blocks = lambda n, size: (n + (1 << size) - 1) >> size
     for trial, r, x in images():
         h, w = x.shape
@@ -147,7 +150,11 @@ def test_webp_transforms_caches_references_and_groups():
             chains.append([(webp.PALETTE,)])
         for chain in chains:
             for cache, references, groups in ((0, False, 0), (1, True, 2), (11, True, 0), (4, False, 3)):
-                assert (webp.decode(webp.encode(x, chain, cache, references, groups)) == x).all(), (trial, chain, cache, references, groups)
+                media = webp.encode(x, chain, cache, references, groups)
+                assert (webp.decode(media) == x).all(), (trial, chain, cache, references, groups)
+                with monkeypatch.context() as m:  # symbol by symbol
+                    m.setattr(webp, "_by_tables", lambda *_: None)
+                    assert (webp.decode(media) == x).all(), (trial, chain, cache, references, groups)
 
 
 def test_webp_predictors_by_hand():
@@ -159,27 +166,74 @@ def test_webp_predictors_by_hand():
     assert webp.predict(13, left, top, right, corner) == [39, 49, 59, 0]
 
 
-def test_webp_stores_payloads():
+def payloads():
     r = np.random.default_rng(2)
-    for n, top in ((64, 128), (128, 256), (64 * 16384, 256), (64 * 16385, 100), (64 * 20001, 256)):
-        payload = r.integers(0, top, n).astype(np.uint8)
+    for n, top in ((64, 128), (128, 256), (64 * 16384, 256), (64 * 16385, 100), (64 * 700, 2), (64 * 700, 16), (64 * 3, 1)):
+        yield r.integers(0, top, n).astype(np.uint8)
+    yield np.cumsum(r.integers(0, 3, 64 * 5000)).astype(np.uint8)  # small steps
+    prose = ("The quick brown fox, \u00e9 and so on. Of the fox the brown and quick. " * 64).encode()
+    yield np.frombuffer(prose[: len(prose) // 64 * 64], np.uint8)
+    yield np.frombuffer(np.array(r.choice(list("etaoin shrdlu,.ABCDEFG"), 64 * 3000).tolist(), "S1").tobytes(), np.uint8)
+
+
+def test_webp_stores_payloads():
+    for payload in payloads():
         media = webp.store(payload)
         assert media[:4] == b"RIFF" and media[8:16] == b"WEBPVP8L"
-        assert (webp.load(media, n) == payload).all()
-        webp._SEEN.clear()
-        assert (webp.load(media, n) == payload).all()
-    with pytest.raises(ValueError):
-        webp.decode(media[:40])
+        assert (webp.load(media, len(payload)) == payload).all()
+        for cut in (40, len(media) // 2):
+            with pytest.raises((ValueError, struct.error, IndexError)):
+                webp.load(media[:cut] if cut < len(media) else b"RIFF" * 3, len(payload))
+
+
+def test_stored_images_use_the_format(monkeypatch):
+    """Codes of several lengths, references, predictor, subtract-green and palettes occur in what ``store`` writes."""
+    used = set()
+
+    def spy(name):
+        real = getattr(webp, name)
+
+        def seen(*args):
+            used.add(name)
+            return real(*args)
+
+        monkeypatch.setattr(webp, name, seen)
+
+    for name in ("_resolved", "undo_predictor", "undo_palette", "add_green"):
+        spy(name)
+    read = webp.read_code
+
+    def code(*args):
+        out = read(*args)
+        if len(set((out.table & 15).tolist())) > 1:
+            used.add("codes of several lengths")
+        return out
+
+    monkeypatch.setattr(webp, "read_code", code)
+    for payload in payloads():
+        webp.load(webp.store(payload), len(payload))
+    assert used == {"_resolved", "undo_predictor", "undo_palette", "add_green", "codes of several lengths"}
+
+
+def test_a_foreign_stream():
+    """The public one-pixel lossless image by which browsers are tested for the format."""
+    media = base64.b64decode("UklGRhoAAABXRUJQVlA4TA0AAAAvAAAAEAcQERGIiP4HAA==")
+    assert webp.decode(media).shape == (1, 1)
 
 
-def test_webp_even_codes_equal_the_slow_way(monkeypatch):
-    payload = np.frombuffer(b"The quick brown fox, \xc3\xa9 and so on." * 64, np.uint8)
-    payload = payload[: len(payload) // 64 * 64]
-    media = webp.store(payload)
-    webp._SEEN.clear()
-    monkeypatch.setattr(webp.Code, "even", lambda self: 0)
-    assert (webp.load(media, len(payload)) == payload).all()
-    webp._SEEN.clear()
+def test_huffman_codes_are_optimal_and_bounded():
+    r = random.Random(7)
+    for trial in range(200):
+        counts = {s: r.randint(1, 10 ** r.randint(0, 6)) for s in r.sample(range(280), r.randint(2, 90))}
+        lengths = webp.code_lengths(counts, 30)
+        heap, cost = sorted(counts.values()), 0
+        while len(heap) > 1:
+            a, b, *heap = heap
+            heap = sorted([*heap, a + b])
+            cost += a + b
+        assert sum(counts[s] * n for s, n in lengths.items()) == cost
+        short = webp.code_lengths(counts, 12)
+        assert max(short.values()) <= 12 and sum(2.0**-n for n in short.values()) == 1, trial
 
 
 def test_media_columns(spark):
@@ -194,6 +248,11 @@ def test_media_columns(spark):
         assert r.tail_crc32 == zlib.crc32(payload[-64:])
     assert found[1].feature == found[2].feature and found[1].media_sha256 == found[2].media_sha256
     assert webp.measured(webp.stored(docs.limit(0))).count() == 0
+    long = spark.createDataFrame([(1, "long words of a very long text " * 100_000), (1, "long words of a very long text " * 100_000)], "doc_id bigint, text string")
+    (a, b) = webp.measured(written(webp.stored(long))).collect()
+    payload = ("long words of a very long text " * 100_000).encode()
+    payload += b"\0" * (-len(payload) % 64)
+    assert a == b and a.payload_sha256 == hashlib.sha256(payload).hexdigest() and a.media_bytes < len(payload) // 20
 
 
 def test_arc_versions_and_damage():
