@@ -73,13 +73,14 @@ def compile_project(files: DataFrame, name: str) -> dict[str, DataFrame]:
     }
 
 
-def compile_archive(files: DataFrame, name: str) -> DataFrame:
+def compile_archive(files: DataFrame, name: str, found: dict[str, DataFrame] | None = None) -> DataFrame:
     """(archive, data): one project as a whole archive, with its files, record files and index files. files: (project, rel,
-    data binary) at hand; name: its .hhp file. Options say which index files it has.
+data binary) at hand; name: its .hhp file; found: what ``compile_project`` gave, if it is at hand. Options say which index
+    files it has. which index files it has.
 
     Pages, postings and compression are dealt to all tasks; the record files refer to one another by offset, and one task
     makes them from the relations, a short row for each topic, node and keyword."""
-    found = compile_project(files, name)
+    found = found or compile_project(files, name)
     language = found["options"].select(text.lcid(project.option("language")).alias("lcid"), project.option("charset").alias("charset"), text.truthy(project.option("full-text search")).alias("fts"), text.truthy(project.option("full text search")).alias("fts2"), project.option("contents file").alias("toc_file"), project.option("index file").alias("index_file"))
     settings = language.withColumn("codepage", F.when(F.col("charset") != "", text.number(F.col("charset"))).otherwise(text.codepage(F.col("lcid")))).first()
     lcid, codepage, fts_wanted = (int(settings.lcid), int(settings.codepage), settings.fts or settings.fts2) if settings else (0x409, 1252, False)
@@ -128,16 +129,28 @@ def compile_archive(files: DataFrame, name: str) -> DataFrame:
     return container.pack(everything, made.where("not inside").select("archive", "name", "data"), lcid)
 
 
+def collection_members(files: DataFrame, master: str) -> DataFrame:
+    """(seq, member, path, kind): the projects that a master project merges, in order, and the master, last. A merged
+    project is found beside the master, or in a folder of its name (kind project); where there is none, an archive of
+    its name in these places is taken as it is (kind archive); else the path is null (kind missing)."""
+    own = project.sections(project.lines(files.where(text.fold(F.col("rel")) == master.lower()).select("project", "rel", charset.decode_text("data", F.lit(1252)).alias("data"))))
+    names = project.listed(own, "merge files").select("seq", text.stem(F.col("value")).alias("member"))
+    places = [(F.concat("member", F.lit(ending)), rank) for rank, ending in enumerate((".hhp", ".chm"))]
+    places = [(path, 2 * rank + below) for one, rank in places for below, path in ((0, one), (1, F.concat("member", F.lit("/"), one)))]
+    each = names.select("seq", "member", F.explode(F.array(*(F.struct(F.lit(rank).alias("rank"), path.alias("path")) for path, rank in places))).alias("place")).select("seq", "member", "place.*")
+    there = each.join(files.select(F.col("rel").alias("path")).distinct(), "path", "left_semi").groupBy("seq").agg(F.min(F.struct("rank", "path")).alias("best"))
+    kind = F.when(F.col("best").isNull(), "missing").when(F.col("best.rank") < 2, "project").otherwise("archive")
+    merged = names.join(there, "seq", "left").select(F.col("seq").cast("bigint").alias("seq"), "member", F.col("best.path").alias("path"), kind.alias("kind"))
+    last = files.sparkSession.createDataFrame([(1 << 62, master.rsplit(".", 1)[0], master, "master")], "seq bigint, member string, path string, kind string")
+    return merged.unionByName(last)
+
+
 def compile_collection(files: DataFrame, master: str) -> dict[str, DataFrame]:
-    """The relations of a master project and of those that it merges, each with the column member. A merged project is
-    found beside the master, or in a folder of its name; members without a project file are left out."""
-    decoded = files.where(text.fold(F.col("rel")) == master.lower()).select("project", "rel", charset.decode_text("data", F.lit(1252)).alias("data"))
-    own = project.sections(project.lines(decoded.where(text.fold(F.col("rel")) == master.lower())))
-    names = project.listed(own, "merge files").select("seq", text.stem(F.col("value")).alias("stem"))
-    both = names.select("seq", "stem", F.explode(F.array(F.concat("stem", F.lit(".hhp")), F.concat("stem", F.lit("/"), "stem", F.lit(".hhp")))).alias("path"))
-    found = both.join(files.select(F.col("rel").alias("path")).distinct(), "path", "left_semi").groupBy("seq", "stem").agg(F.min_by("path", F.length("path")).alias("path"))
+    """The relations of a master project and of those that it merges, each with the column member. Members without a
+    project file (see ``collection_members``) are left out."""
     out: dict[str, DataFrame] = {}
-    members = [(r.stem, r.path) for r in found.orderBy("seq").collect()] + [(master.rsplit(".", 1)[0], master)]  # a line each of one file
+    found = collection_members(files, master).where("kind in ('project', 'master')")
+    members = [(r.member, r.path) for r in found.orderBy("seq").collect()]  # a line each of one file
     for member, path in members:
         base = path[: path.rfind("/") + 1]
         inside = files.where(F.col("rel").startswith(base)).withColumn("rel", F.col("rel").substr(F.lit(len(base) + 1), F.length("rel")))
