@@ -13,9 +13,8 @@ Long texts go through whole.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from lexforge.llm import bpe, langid, minhash, mixing, toxicity
+from lexforge.llm import bpe, langall, langid, minhash, mixing, toxicity  # noqa: F401 (tests take langid from here)
 from lexforge.llm.queries import table, tokenizer
 from lexforge.llm.store import written
 
@@ -30,13 +29,7 @@ def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def unknown_language_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter, or of no language known (less familiar than the cut of the language they are like), go."""
-    training = docs.where(~langid.held_out()).select("text", "lang")
-    model = langid.train(training)
-    least = F.lit(0.0)
-    for lang, cut in langid.cuts(training, model).items():
-        least = F.when(F.col("lang_pred") == lang, cut).otherwise(least)
-    known = (F.col("lang_pred") != langid.UNKNOWN) & (F.col("familiarity") >= least)
-    return langid.identify(docs, model, familiarity=True).where(known).select(COLUMNS)
+    return langall.known(docs).select(COLUMNS)
 
 
 def near_copies_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
