@@ -8,7 +8,8 @@ operations (``_by_tables``), those with several groups symbol by symbol.
 ``store`` keeps payloads of bytes as grey images: rows of 64 pixels, at most 16384 of them, the byte in each channel. Each
 image has prefix codes of its own and back-references; by its content it takes a palette with bundled pixels (at most 16
 different bytes), the predictor of the left neighbour (differences have less entropy than bytes), or neither, and
-subtract-green makes red and blue equal. Larger payloads are a row of RIFF files. A null text is an empty one: a payload
+subtract-green makes red and blue equal. Small images are made and read several at a time, by the same array operations for
+all of them, as numpy's cost for each call is most of what a small one takes. Larger payloads are a row of RIFF files. A null text is an empty one: a payload
 of 64 zero bytes. Repeated rows get a row each; other columns are not read.
 """
 
@@ -16,7 +17,6 @@ from __future__ import annotations
 
 import functools
 import hashlib
-import itertools
 import struct
 import zlib
 from collections import Counter
@@ -50,7 +50,7 @@ class Bits:
     """Reads bits, least significant first."""
 
     def __init__(self, data: bytes):
-        self.data, self.at = data, 0
+        self.data, self.at, self.end = data, 0, 8 * len(data)
 
     def peek(self, n: int) -> int:
         a = self.at
@@ -58,13 +58,15 @@ class Bits:
 
     def skip(self, n: int) -> None:
         self.at += n
-        if self.at > 8 * len(self.data):
+        if self.at > self.end:
             raise ValueError("the image ends within its data")
 
     def read(self, n: int) -> int:
-        out = self.peek(n)
-        self.skip(n)
-        return out
+        a = self.at
+        self.at = end = a + n
+        if end > self.end:
+            raise ValueError("the image ends within its data")
+        return int.from_bytes(self.data[a >> 3 : (end + 7) >> 3], "little") >> (a & 7) & ((1 << n) - 1)
 
 
 @functools.cache
@@ -83,7 +85,7 @@ class Code:
     def __init__(self, lengths: dict[int, int]):
         self.only = next(iter(lengths)) if len(lengths) == 1 else None
         if self.only is not None:
-            self.most, self.table = 0, np.array([self.only << 4], np.int32)
+            self.most, self.table = 0, np.array([self.only << 4])
             return
         if not lengths:
             raise ValueError("a prefix code without symbols")
@@ -93,7 +95,7 @@ class Code:
         spans = 1 << self.most - (each >> 16)
         if spans.sum() != 1 << self.most:
             raise ValueError("the prefix code is not complete")
-        self.table = np.repeat(((each & 0xFFFF) << 4 | each >> 16).astype(np.int32), spans).take(_reversed(self.most))
+        self.table = np.repeat((each & 0xFFFF) << 4 | each >> 16, spans).take(_reversed(self.most))
 
     @functools.cached_property
     def entries(self) -> list[int]:
@@ -111,10 +113,12 @@ def read_code(bits: Bits, size: int) -> Code:
         symbols = [bits.read(8 if bits.read(1) else 1)]
         symbols += [bits.read(8)] if two else []
         return Code(dict.fromkeys(symbols, 1))
-    lengths = {}
-    for k in range(4 + bits.read(4)):
-        if n := bits.read(3):
-            lengths[CODE_LENGTH_ORDER[k]] = n
+    lengths, several = {}, 4 + bits.read(4)
+    each = bits.read(3 * several)
+    for symbol in CODE_LENGTH_ORDER[:several]:
+        if each & 7:
+            lengths[symbol] = each & 7
+        each >>= 3
     of_lengths = Code(lengths)
     left = 2 + bits.read(2 + 2 * bits.read(3)) if bits.read(1) else size
     out: dict[int, int] = {}
@@ -219,6 +223,14 @@ _EIGHT = np.arange(8)
 #: Extra bits of a length or distance prefix, and the least number that it stands for.
 _EXTRA = np.array([0, 0] + [(p - 2) >> 1 for p in range(2, 40)])
 _LEAST = np.array([1, 2] + [((2 + (p & 1)) << ((p - 2) >> 1)) + 1 for p in range(2, 40)])
+#: By 16 times a prefix plus the length of its code: the bits of code and extra bits together.
+_SPAN = (np.arange(16) + _EXTRA[:, None]).ravel()
+
+
+@functools.lru_cache(64)
+def _near(width: int) -> np.ndarray:
+    """The distances that the codes from 1 to 120 stand for."""
+    return np.array([max(1, x + y * width) for x, y in NEAR])
 
 
 def _by_tables(bits: Bits, width: int, n: int, cache_bits: int, codes: list[Code]) -> np.ndarray | None:
@@ -237,7 +249,6 @@ def _by_tables(bits: Bits, width: int, n: int, cache_bits: int, codes: list[Code
         if all(c.only is not None for c, _ in colours):
             return np.full(n, green.only << 8 | sum(c.only << shift for c, shift in colours), np.uint32)
     plain = sum(c.only << shift for c, shift in colours if c.only is not None)
-    near = np.maximum(1, [x + y * width for x, y in NEAR])
     data, at, found, parts = bits.data + bytes(48), bits.at, 0, []
     longest = green.most + max(red.most + blue.most + alpha.most, far.most + 32)
     while found < n:
@@ -259,32 +270,34 @@ def _by_tables(bits: Bits, width: int, n: int, cache_bits: int, codes: list[Code
         value = None
         if any(c.only is None for c, _ in colours):
             literals = np.flatnonzero(entry < 256 << 4)
-            p, value = literals + length[literals], entry.astype(np.int64) >> 4
+            p, value = literals + length[literals], entry >> 4
             value[literals] = value[literals] << 8 | plain
             for c, shift in colours:
                 if c.only is None:
                     e = c.table[ahead(p, c.most)]
                     p = p + (e & 15)
-                    value[literals] |= (e >> 4).astype(np.int64) << shift
+                    value[literals] |= e >> 4 << shift
             length[literals] = p - literals
         if len(copies):
-            prefix = (entry[copies] >> 4) - 256
-            p = copies + length[copies]
-            runs = _LEAST[prefix] + ahead(p, _EXTRA[prefix])
-            p = p + _EXTRA[prefix]
-            e = far.table[ahead(p, far.most)]
-            p, prefix = p + (e & 15), e >> 4
-            back = _LEAST[prefix] + ahead(p, _EXTRA[prefix])
-            length[copies] = p + _EXTRA[prefix] - copies
-        begun = _walk(np.arange(8 * size) + length, at - 8 * first)
+            p = copies + _SPAN.take(entry[copies] - (256 << 4))
+            length[copies] = p + _SPAN.take(far.table.take(ahead(p, far.most))) - copies
+        after = np.empty(8 * size + 1, np.int64)
+        np.minimum(np.arange(8 * size) + length, 8 * size, out=after[:-1])
+        after[-1] = 8 * size
+        begun = _walk(after, at - 8 * first)
         kind = entry[begun] >> 4
         counts, places = np.ones(len(begun), np.int64), np.zeros(len(begun), np.int64)
-        values = value[begun] if value is not None else kind.astype(np.int64) << 8 | plain
+        values = value[begun] if value is not None else kind << 8 | plain
         own = np.flatnonzero((kind >= 256) & (kind < 280))
         if len(own):
-            which = np.searchsorted(copies, begun[own])
-            counts[own], d = runs[which], back[which]
-            places[own] = np.where(d > 120, d - 120, near[np.minimum(d, 120) - 1])
+            prefix, p = kind[own] - 256, begun[own]
+            extra, p = _EXTRA[prefix], p + (entry[p] & 15)
+            counts[own] = _LEAST[prefix] + ahead(p, extra)
+            p = p + extra
+            e = far.table[ahead(p, far.most)]
+            p, prefix = p + (e & 15), e >> 4
+            d = _LEAST[prefix] + ahead(p, _EXTRA[prefix])
+            places[own] = np.where(d > 120, d - 120, _near(width)[np.minimum(d, 120) - 1])
         if cache_bits:
             hit = kind >= 280
             places[hit], values[hit] = -1, kind[hit] - 280
@@ -307,12 +320,20 @@ def _by_tables(bits: Bits, width: int, n: int, cache_bits: int, codes: list[Code
 
 
 def _walk(after: np.ndarray, at: int) -> np.ndarray:
-    """at, after[at], after[after[at]] and so on, up to the end of ``after``."""
-    n, each, path = len(after), memoryview(after), []
-    while at < n:
+    """at, after[at], after[after[at]] and so on, up to the last place, which leads to itself and is left out. In a long array,
+    only each fourth step is taken by itself; those between are looked up for all."""
+    end, path, jumps = len(after) - 1, [], [after]
+    if end > 512:
+        jumps.append(after.take(after))
+        jumps.append(jumps[1].take(jumps[1]))
+    each = memoryview(jumps[-1])
+    while at < end:
         path.append(at)
         at = each[at]
-    return np.array(path)
+    out = np.array(path, np.int64)
+    for jump in reversed(jumps[:-1]):
+        out = np.stack([out, jump.take(out)], 1).ravel()
+    return out[: np.searchsorted(out, end)]
 
 
 def _resolved(n: int, counts: np.ndarray, places: np.ndarray, values: np.ndarray, cache_bits: int) -> np.ndarray | None:
@@ -419,8 +440,8 @@ def cross_colour(argb: np.ndarray, width: int, factors: np.ndarray, size: int, s
 
 
 def add_green(argb: np.ndarray) -> np.ndarray:
-    green = (argb >> 8) & 0xFF
-    return (argb & np.uint32(0xFF00FF00)) | ((((argb >> 16) + green) & 0xFF) << 16) | ((argb + green) & 0xFF)
+    both = (argb & np.uint32(0xFF00FF)) + ((argb >> 8) & 0xFF) * np.uint32(0x10001)
+    return (argb & np.uint32(0xFF00FF00)) | (both & np.uint32(0xFF00FF))
 
 
 def bundle_bits(colours: int) -> int:
@@ -459,8 +480,8 @@ def _transforms(bits: Bits, width: int, height: int) -> tuple[list[tuple], int]:
     return undo, now
 
 
-def decode(data: bytes) -> np.ndarray:
-    """The pixels, as ARGB numbers in rows, of one RIFF file or bare VP8L bitstream."""
+def _opened(data: bytes) -> tuple[Bits, list[tuple], int, int, tuple]:
+    """(where its pixels begin, transforms, width in the file, height, ``_head_of``) of a RIFF file or bare bitstream."""
     if data[:4] == b"RIFF":
         at = 12
         while data[at : at + 4] != b"VP8L":
@@ -476,18 +497,115 @@ def decode(data: bytes) -> np.ndarray:
     if bits.read(3):
         raise ValueError("unknown version")
     undo, now = _transforms(bits, width, height)
-    head = _head_of(bits, now, height, True)
-    out = _pixels(bits, now, height, *head)
-    for kind, across, side, size in reversed(undo):
-        if kind == PREDICTOR:
-            out = undo_predictor(out, across, (side >> 8) & 15, size)
-        elif kind == CROSS_COLOUR:
-            out = cross_colour(out, across, side, size, 1)
-        elif kind == PALETTE:
-            out = undo_palette(out, across, side)
-        else:
-            out = add_green(out)
-    return out.reshape(height, width)
+    return bits, undo, now, height, _head_of(bits, now, height, True)
+
+
+def decode(data: bytes) -> np.ndarray:
+    """The pixels, as ARGB numbers in rows, of one RIFF file or bare VP8L bitstream."""
+    return decode_all([data])[0]
+
+
+def decode_all(files: list[bytes]) -> list[np.ndarray]:
+    """``decode`` of each. Small images that differ in green only before their transforms are inverted are read together."""
+    images = [_opened(data) for data in files]
+    small = [k for k, (bits, _, _, _, head) in enumerate(images) if bits.end < 8 * WINDOW and _only_green(*head)]
+    out: list = [None] * len(files)
+    if len(small) > 1:
+        for k, pixels in zip(small, _small_by_tables([images[k] for k in small]), strict=True):
+            out[k] = pixels
+    for k, (bits, undo, now, height, head) in enumerate(images):
+        pixels = _pixels(bits, now, height, *head) if out[k] is None else out[k]
+        for kind, across, side, size in reversed(undo):
+            if kind == PREDICTOR:
+                pixels = undo_predictor(pixels, across, (side >> 8) & 15, size)
+            elif kind == CROSS_COLOUR:
+                pixels = cross_colour(pixels, across, side, size, 1)
+            elif kind == PALETTE:
+                pixels = undo_palette(pixels, across, side)
+            else:
+                pixels = add_green(pixels)
+        out[k] = pixels.reshape(height, -1)
+    return out
+
+
+def _only_green(cache_bits: int, choose: np.ndarray | None, size: int, codes: list[list[Code]]) -> bool:
+    green, *colours, _ = codes[0]
+    return not cache_bits and len(codes) == 1 and green.only is None and all(c.only is not None for c in colours)
+
+
+#: Bytes between the data of images that are read together: more than those of any token.
+_GAP = 12
+
+
+def _small_by_tables(images: list[tuple]) -> list[np.ndarray]:
+    """``_by_tables`` of several images at once, each ``_only_green`` and read in one window. In the walk from token to token,
+    the gap after each one's data leads to the first token of the next."""
+    parts = [bits.data[bits.at >> 3 :] for bits, *_ in images]
+    data = (b"\0" * _GAP).join([*parts, b"", b"", b""])
+    lengths = np.array([len(part) + _GAP for part in parts])
+    size, stops = int(lengths.sum()), 8 * (np.cumsum(lengths) - _GAP)
+    starts = stops - 8 * (lengths - _GAP) + [bits.at & 7 for bits, *_ in images]
+    pixels = np.array([now * height for _, _, now, height, _ in images])
+    greens, fars = [head[3][0][0] for *_, head in images], [head[3][0][4] for *_, head in images]
+    plain = np.array([red.only << 16 | blue.only | alpha.only << 24 for _, red, blue, alpha, _ in (head[3][0] for *_, head in images)])
+    words = np.ndarray((size,), "<u4", data, 0, (1,)).astype(np.int64)[:, None]
+    wide = np.ndarray((size + 16,), "<u8", data, 0, (1,))
+    of_byte = np.repeat(np.arange(len(images)), lengths)
+
+    def ahead(p: np.ndarray, mask: np.ndarray) -> np.ndarray:
+        return (wide[p >> 3] >> (p & 7).astype(np.uint64)).astype(np.int64) & mask
+
+    entry, after = np.empty((size, 8), np.int64), np.arange(8 * size + 1)
+    for code, b, n in zip(greens, np.cumsum(lengths).tolist(), lengths.tolist(), strict=True):
+        index = words[b - n : b] >> _EIGHT
+        index &= (1 << code.most) - 1
+        code.table.take(index, out=entry[b - n : b], mode="clip")
+    entry = entry.ravel()
+    copies = np.flatnonzero(entry >= 256 << 4)
+    base = np.cumsum([0, *(len(c.table) for c in fars[:-1])])
+    mask, table = np.array([(1 << c.most) - 1 for c in fars]), np.concatenate([c.table for c in fars])
+    p, own = copies + _SPAN.take(entry[copies] - (256 << 4)), of_byte[copies >> 3]
+    p += _SPAN.take(table.take(ahead(p, mask[own]) + base[own]))
+    after[:-1] += entry & 15
+    after[copies] = p
+    after[stops[:, None] + np.arange(8 * _GAP)] = np.array([*starts[1:], 8 * size])[:, None]
+    begun = _walk(after, int(starts[0]))
+    image = of_byte[begun >> 3]
+    real = np.flatnonzero(begun < stops[image])
+    begun, image = begun[real], image[real]
+    kind = entry[begun] >> 4
+    counts, places = np.ones(len(begun), np.int64), np.zeros(len(begun), np.int64)
+    if len(copies := np.flatnonzero(kind >= 256)):
+        prefix, p, own = kind[copies] - 256, begun[copies], image[copies]
+        extra, p = _EXTRA[prefix], p + (entry[p] & 15)
+        counts[copies] = _LEAST[prefix] + ahead(p, (1 << extra) - 1)
+        p += extra
+        e = table[ahead(p, mask[own]) + base[own]]
+        p, prefix = p + (e & 15), e >> 4
+        d = _LEAST[prefix] + ahead(p, (1 << _EXTRA[prefix]) - 1)
+        near = np.stack([_near(now) for _, _, now, _, _ in images])
+        places[copies] = np.where(d > 120, d - 120, near[own, np.minimum(d, 120) - 1])
+    ends = np.cumsum(counts)
+    tokens = np.bincount(image, minlength=len(images))
+    if not tokens.all():
+        raise ValueError("the image ends within its data")
+    first = np.cumsum(tokens) - tokens
+    ends -= np.repeat(ends[first] - counts[first], tokens)
+    needed = np.flatnonzero(ends - counts < pixels[image])
+    last = np.cumsum(np.bincount(image[needed], minlength=len(images))) - 1
+    begun, counts, places, ends, image, kind = (v[needed] for v in (begun, counts, places, ends, image, kind))
+    if (ends[last] > pixels).any() or (places > ends - counts).any():
+        raise ValueError("a back-reference leaves the image")
+    if (ends[last] < pixels).any() or (after[begun[last]] > stops).any():
+        raise ValueError("the image ends within its data")
+    values = kind << 8 | plain[image]
+    out = _resolved(int(pixels.sum()), counts, places, values, 0) if places.any() else values.astype(np.uint32)
+    return np.split(out, np.cumsum(pixels)[:-1])
+
+
+@functools.lru_cache(1 << 14)
+def _digits(value: int, n: int) -> str:
+    return f"{value:0{n}b}"[::-1] if n else ""
 
 
 class Writer:
@@ -497,7 +615,7 @@ class Writer:
         self.parts: list[str] = []
 
     def put(self, value: int, n: int) -> None:
-        self.parts.append(f"{value:0{n}b}"[::-1] if n else "")
+        self.parts.append(_digits(value, n))
 
     def code(self, value: int, n: int) -> None:
         self.parts.append(f"{value:0{n}b}" if n else "")
@@ -511,72 +629,86 @@ def code_lengths(counts: dict[int, int], most: int = 15) -> dict[int, int]:
     m, floor = len(counts), 1
     if m < 2:
         return dict.fromkeys(counts or [0], 0)
+    never = sum(counts.values()) + 1 << most + 1
     while True:
-        leaves = sorted((max(n, floor), s) for s, n in counts.items())
-        weights, above, leaf, inner = [n for n, _ in leaves], [0] * (2 * m - 1), 0, m
-        for k in range(m, 2 * m - 1):
-            total = 0
-            for _ in range(2):
-                if leaf < m and (inner >= k or weights[leaf] <= weights[inner]):
-                    one, leaf = leaf, leaf + 1
-                else:
-                    one, inner = inner, inner + 1
-                above[one] = k
-                total += weights[one]
-            weights.append(total)
+        order = sorted([(n if n > floor else floor) << 16 | s for s, n in counts.items()])
+        leaves, inner, above, i, j = [x >> 16 for x in order], [never] * m, [0] * (2 * m - 1), 0, 0
+        leaves.append(never)
+        for k in range(m - 1):  # the two least weights, leaves first
+            if leaves[i] <= inner[j]:
+                total = leaves[i]
+                above[i] = m + k
+                i += 1
+            else:
+                total = inner[j]
+                above[m + j] = m + k
+                j += 1
+            if leaves[i] <= inner[j]:
+                inner[k] = total + leaves[i]
+                above[i] = m + k
+                i += 1
+            else:
+                inner[k] = total + inner[j]
+                above[m + j] = m + k
+                j += 1
         depth = [0] * (2 * m - 1)
         for k in range(2 * m - 3, -1, -1):
             depth[k] = depth[above[k]] + 1
         if max(depth) <= most:
-            return {s: depth[k] for k, (_, s) in enumerate(leaves)}
+            return {x & 0xFFFF: n for x, n in zip(order, depth, strict=False)}
         floor *= 2
 
 
 def write_code(out: Writer, lengths: dict[int, int], size: int) -> dict[int, tuple[int, int]]:
     """Write a prefix code; (code, length) of each symbol."""
+    return canonical_codes(write_lengths(out, lengths, size))
+
+
+def write_lengths(out: Writer, lengths: dict[int, int], size: int) -> dict[int, int]:
+    """Write a prefix code; the length of each symbol's code as it is read, which is 0 for a single symbol."""
     if len(lengths) == 1 and min(lengths) < 256:
-        out.put(1, 1)
-        out.put(0, 1)
-        out.put(1, 1)
-        out.put(symbol := min(lengths), 8)
-        return {symbol: (0, 0)}
+        out.put(5 | min(lengths) << 3, 11)
+        return dict.fromkeys(lengths, 0)
     if len(lengths) == 1:  # a code for one symbol beyond 255 needs a second symbol
         lengths = {0: 1, **dict.fromkeys(lengths, 1)}
-    each = [0] * size
-    for symbol, n in lengths.items():
-        each[symbol] = n
+    each = np.zeros(size, np.int64)
+    each[list(lengths)] = list(lengths.values())
     tokens = _runs(each)
-    of = code_lengths(Counter(v for v, _, _ in tokens), 7)
+    of = code_lengths(Counter([v for v, _, _ in tokens]), 7)
     if len(of) == 1:
         of = {**dict.fromkeys(of, 1), (0 if min(of) else 1): 1}
     out.put(0, 1)
     order = [of.get(s, 0) for s in CODE_LENGTH_ORDER]
-    n = max(4, max(i for i, v in enumerate(order) if v) + 1)
+    n = len(order)
+    while n > 4 and not order[n - 1]:
+        n -= 1
     out.put(n - 4, 4)
-    for v in order[:n]:
-        out.put(v, 3)
+    out.parts += [_digits(v, 3) for v in order[:n]]
     out.put(0, 1)
     codes = {v: f"{code:0{n}b}" for v, (code, n) in canonical_codes(of).items()}
-    for v, extra, bits in tokens:
-        out.parts.append(codes[v])
-        if bits:
-            out.put(extra, bits)
-    return canonical_codes(lengths)
+    out.parts += [codes[v] + _digits(extra, bits) if bits else codes[v] for v, extra, bits in tokens]
+    return lengths
+
+
+#: A code length that is written as such.
+_PLAIN = [(v, 0, 0) for v in range(16)]
 
 
-def _runs(each: list[int]) -> list[tuple[int, int, int]]:
+def _runs(each: np.ndarray) -> list[tuple[int, int, int]]:
     """Code lengths as (token, extra bits, their number): a length, or 16 to 18 for a run."""
     out = []
-    for v, run in itertools.groupby(each):
-        n = len(list(run))
+    edges = [0, *(np.flatnonzero(each[1:] != each[:-1]) + 1).tolist(), len(each)]
+    for v, a, b in zip(each[edges[:-1]].tolist(), edges, edges[1:], strict=False):
+        n = b - a
         if v:
-            out.append((v, 0, 0))
+            out.append(_PLAIN[v])
             n -= 1
         while n >= 3:
             m = min(n, 138 if not v else 6)
             out.append((16, m - 3, 2) if v else (18, m - 11, 7) if m >= 11 else (17, m - 3, 3))
             n -= m
-        out += [(v, 0, 0)] * n
+        if n:
+            out += [_PLAIN[v]] * n
     return out
 
 
@@ -719,12 +851,14 @@ LEAST_RUN = 5
 
 
 @functools.cache
-def _near_codes(width: int) -> np.ndarray:
-    """The distance code of each distance that the map of near pixels has, by distance; 0 for others."""
-    each = [max(1, x + y * width) for x, y in NEAR]
-    out = np.zeros(max(each) + 1, np.int64)
-    for code in range(len(each), 0, -1):
-        out[each[code - 1]] = code
+def _near_codes() -> np.ndarray:
+    """The distance code of each distance that the map of near pixels has, by log2 of the width (at most 64) and distance;
+    0 for others."""
+    out = np.zeros((7, 7 * 64 + 9), np.int64)
+    for bits in range(7):
+        for code in range(len(NEAR), 0, -1):
+            x, y = NEAR[code - 1]
+            out[bits, max(1, x + (y << bits))] = code
     return out
 
 
@@ -734,121 +868,151 @@ def _prefixes(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return prefix, values - _LEAST[prefix], _EXTRA[prefix]
 
 
-def _references(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Tokens (first byte, length, distance; 0 for a literal) of a greedy parse. A byte's candidate is the last place
+def _references(x: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A greedy parse of streams of these sizes (4 at least), which ``x`` holds one after the other: the first byte of each
+    token, which tokens are references, and their lengths and distances. A byte's candidate is the last place in its stream
     where its four bytes came before; it goes on while the bytes that follow have a candidate at the same distance."""
-    n = len(x)
+    n, ends = len(x), np.cumsum(sizes)
+    words = np.ndarray((n - 3,), "<u4", np.ascontiguousarray(x), 0, (1,))
+    keys = words.astype(np.int64) << 32 | np.arange(n - 3)
+    keys.sort()
+    high = keys >> 32
+    same = np.flatnonzero(high[1:] == high[:-1])
+    later, earlier = keys[same + 1] & 0xFFFFFFFF, keys[same] & 0xFFFFFFFF
+    if len(sizes) > 1:  # both in one stream, and so their bytes
+        own = np.flatnonzero((earlier >= np.repeat(ends - sizes, sizes)[later]) & (later < np.repeat(ends - 3, sizes)[later]))
+        later, earlier = later[own], earlier[own]
     back = np.zeros(n, np.int64)
-    if n > 4:
-        words = np.ndarray((n - 3,), "<u4", np.ascontiguousarray(x), 0, (1,))
-        keys = np.sort(words.astype(np.uint64) << np.uint64(32) | np.arange(n - 3, dtype=np.uint64))
-        place = (keys & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        same = np.flatnonzero(keys[1:] >> np.uint64(32) == keys[:-1] >> np.uint64(32))
-        back[place[same + 1]] = place[same + 1] - place[same]
-    edges = np.concatenate([[0], np.flatnonzero(back[1:] != back[:-1]) + 1, [n]])
-    run = np.minimum(np.repeat(edges[1:], np.diff(edges)) - np.arange(n) + 3, 4096)
-    run[(back == 0) | (run < LEAST_RUN)] = 1
-    some = np.flatnonzero(run > 1)
-    taken, end = [], 0
-    for k, length in zip(some.tolist(), run[some].tolist(), strict=True):
-        if k >= end:
-            taken.append(k)
-            end = k + length
-    inner = np.zeros(n + 1, np.int64)  # bytes of references but their first
-    taken = np.array(taken, np.int64)
-    inner[taken + 1] += 1
-    inner[taken + run[taken]] -= 1
-    at = np.flatnonzero(np.cumsum(inner[:n]) == 0)
-    first = np.zeros(n, bool)
-    first[taken] = True
-    return at, np.where(first[at], run[at], 1), np.where(first[at], back[at], 0)
-
-
-def _code_arrays(codes: dict[int, tuple[int, int]], size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Codes, first bit lowest, and their lengths, by symbol."""
-    value, length = np.zeros(size, np.int64), np.zeros(size, np.int64)
-    symbols = list(codes)
-    code, n = np.array(list(codes.values())).T
-    value[symbols], length[symbols] = _reversed(15)[code] >> 15 - n, n
+    back[later] = later - earlier
+    begin = np.flatnonzero(back)
+    distance = back[begin]
+    edges = np.flatnonzero((begin[1:] != begin[:-1] + 1) | (distance[1:] != distance[:-1])) + 1
+    edges = np.concatenate([[0], edges, [len(begin)]]) if len(begin) else np.zeros(1, np.int64)
+    run = np.minimum(np.repeat(begin[edges[1:] - 1] + 4, edges[1:] - edges[:-1]) - begin, 4096)
+    some = np.flatnonzero(run >= LEAST_RUN)
+    begin = begin[some]
+    taken = _walk(np.append(np.searchsorted(begin, begin + run[some]), len(begin)), 0)
+    begin, run, distance = begin[taken], run[some[taken]], distance[some[taken]]
+    inner = np.zeros(n + 1, np.int8)  # bytes of references but their first
+    inner[begin + 1] = 1
+    inner[begin + run] = -1
+    return np.flatnonzero(np.cumsum(inner[:n], dtype=np.int8) == 0), begin - np.cumsum(run - 1) + run - 1, run, distance
+
+
+def _code_arrays(lengths: list[dict[int, int]], size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Canonical codes, first bit lowest, and their lengths, by symbol, ``size`` of them for each code of the list."""
+    order = np.array([x for each in lengths for x in sorted([n << 16 | s for s, n in each.items()])])
+    symbols = (order & 0xFFFF) + np.repeat(np.arange(0, size * len(lengths), size), [len(each) for each in lengths])
+    value, length = np.zeros(size * len(lengths), np.int64), np.zeros(size * len(lengths), np.int64)
+    length[symbols] = n = order >> 16
+    spans = 1 << 15 - n  # those of each code fill 15 bits
+    value[symbols] = _reversed(15)[np.cumsum(spans) - spans & 0x7FFF]
     return value, length
 
 
-def _counted(symbols: np.ndarray) -> dict[int, int]:
-    counts = np.bincount(symbols)
+def _counted(counts: np.ndarray) -> dict[int, int]:
     some = np.flatnonzero(counts)
     return dict(zip(some.tolist(), counts[some].tolist(), strict=True))
 
 
-def _entropy(x: np.ndarray) -> float:
-    counts = np.bincount(x)
+def _entropy(counts: np.ndarray) -> float:
     counts = counts[counts > 0]
-    return float((counts * np.log2(len(x) / counts)).sum())
-
-
-def _image(x: np.ndarray) -> bytes:
-    """A RIFF file of grey pixels in rows of 64."""
-    rows = x.reshape(-1, 64)
-    out, width = _head(64, len(rows)), 64
-    colours = np.flatnonzero(np.bincount(x, minlength=256))
-    if len(colours) <= 16:
-        out.put(1 | PALETTE << 1, 3)
-        out.put(len(colours) - 1, 8)
-        table = colours.astype(np.uint32) * np.uint32(0x10101) | np.uint32(BLACK)
-        write_pixels(out, _join(np.diff(_split(table), axis=0, prepend=0)), len(table), False)
-        bits = bundle_bits(len(colours))
-        width >>= bits
-        index = np.searchsorted(colours, rows).reshape(-1, width, 1 << bits)
-        x = (index << np.arange(1 << bits) * (8 >> bits)).sum(2).astype(np.uint8).ravel()
-    else:
-        steps = rows.copy()
-        steps[:, 1:] -= rows[:, :-1]
-        steps[1:, 0] -= rows[:-1, 0]
-        if _entropy(steps.ravel()) < _entropy(x):
-            x = steps.ravel()
-            out.put(1 | PREDICTOR << 1, 3)
-            out.put(7, 3)
-            side = _blocks(len(rows), 9)
-            write_pixels(out, np.full(side, 1 << 8 | BLACK, np.uint32), 1, False)
-            alpha = 0
+    return float((counts * np.log2(counts.sum() / counts)).sum())
+
+
+def _images(pixels: list[np.ndarray]) -> list[bytes]:
+    """RIFF files of grey pixels in rows of 64. What is done by arrays is done for all images at once, so that many small
+    ones cost less; each file is as if it were alone."""
+    x, sizes = np.concatenate(pixels), np.array([len(p) for p in pixels])
+    rows, ends = x.reshape(-1, 64), np.cumsum(sizes)
+    steps, first = rows.copy(), (ends - sizes) >> 6
+    steps[:, 1:] -= rows[:, :-1]
+    steps[1:, 0] -= rows[:-1, 0]
+    steps[first, 0] = rows[first, 0]
+    steps, of = steps.ravel(), np.repeat(np.arange(len(pixels)) << 8, sizes)
+    counts, of_steps = (np.bincount(of + v, minlength=len(pixels) << 8).reshape(-1, 256) for v in (x, steps))
+    heads, alphas, streams, widths = [], [], [], []
+    for k, (own, end) in enumerate(zip(pixels, ends.tolist(), strict=True)):
+        out, bits, alpha = _head(64, len(own) >> 6), 0, 255
+        colours = np.flatnonzero(counts[k])
+        if len(colours) <= 16:
+            out.put(1 | PALETTE << 1, 3)
+            out.put(len(colours) - 1, 8)
+            table = colours.astype(np.uint32) * np.uint32(0x10101) | np.uint32(BLACK)
+            write_pixels(out, _join(np.diff(_split(table), axis=0, prepend=0)), len(table), False)
+            bits = bundle_bits(len(colours))
+            index = np.searchsorted(colours, own).reshape(-1, 1 << bits)
+            own = (index << np.arange(1 << bits) * (8 >> bits)).sum(1).astype(np.uint8)
         else:
-            alpha = 255
-        out.put(1 | SUBTRACT_GREEN << 1, 3)
-    if len(colours) <= 16:
-        alpha = 255
-    out.put(0, 1)
-    out.put(0, 2)  # no cache, one group of codes
-    at, run, distance = _references(x)
-    copies = np.flatnonzero(distance)
-    symbol = x[at].astype(np.int64)
-    run_prefix, run_rest, run_bits = _prefixes(run[copies])
+            if _entropy(of_steps[k]) < _entropy(counts[k]):
+                out.put(1 | PREDICTOR << 1, 3)
+                out.put(7, 3)
+                write_pixels(out, np.full(_blocks(len(own) >> 6, 9), 1 << 8 | BLACK, np.uint32), 1, False)
+                own, alpha = steps[end - len(own) : end], 0
+            out.put(1 | SUBTRACT_GREEN << 1, 3)
+        out.put(0, 1)
+        out.put(0, 2)  # no cache, one group of codes
+        heads.append(out)
+        alphas.append(alpha)
+        streams.append(own)
+        widths.append(6 - bits)
+    return [_riff(data) for data in _coded(heads, alphas, streams, np.array(widths))]
+
+
+def _coded(heads: list[Writer], alphas: list[int], streams: list[np.ndarray], widths: np.ndarray) -> list[bytes]:
+    """Each head, then prefix codes and tokens of its stream of green values. widths: the images' log2 of it."""
+    x, sizes, n = np.concatenate(streams), np.array([len(v) for v in streams]), len(streams)
+    at, copies, run, d = _references(x, sizes)
+    tokens = np.diff(np.searchsorted(at, np.concatenate([[0], np.cumsum(sizes)])))
+    image = np.repeat(np.arange(n), tokens)
+    of, symbol = image[copies], x[at].astype(np.int64)
+    run_prefix, run_rest, run_bits = _prefixes(run)
     symbol[copies] = 256 + run_prefix
-    near, d = _near_codes(width), distance[copies]
-    known = near[np.minimum(d, len(near) - 1)] * (d < len(near))
+    near = _near_codes()
+    known = near[widths[of], np.minimum(d, near.shape[1] - 1)] * (d < near.shape[1])
     prefix, rest, rest_bits = _prefixes(np.where(known > 0, known, d + 120))
-    code, length = _code_arrays(write_code(out, code_lengths(_counted(symbol), CODE_BITS), 280), 280)
-    for one in (0, 0, alpha):
-        write_code(out, {one: 0}, 256)
-    far, far_bits = _code_arrays(write_code(out, code_lengths(_counted(prefix), CODE_BITS), 40), 40)
+    symbol += 280 * image
+    prefix += 40 * of
+    greens, fars = [], []
+    counts, of_far = np.bincount(symbol, minlength=280 * n).reshape(n, 280), np.bincount(prefix, minlength=40 * n).reshape(n, 40)
+    for k, (out, alpha) in enumerate(zip(heads, alphas, strict=True)):
+        greens.append(write_lengths(out, code_lengths(_counted(counts[k]), CODE_BITS), 280))
+        for one in (0, 0, alpha):
+            write_lengths(out, {one: 0}, 256)
+        fars.append(write_lengths(out, code_lengths(_counted(of_far[k]), CODE_BITS), 40))
+    code, length = _code_arrays(greens, 280)
+    far, far_bits = _code_arrays(fars, 40)
     value, size = code[symbol], length[symbol]
+    ends, values = size[copies], value[copies]
     for more, bits in ((run_rest, run_bits), (far[prefix], far_bits[prefix]), (rest, rest_bits)):
-        value[copies] |= more << size[copies]
-        size[copies] += bits
-    return _riff(_packed(out.array(), value.astype(np.uint64), size))
-
-
-def _packed(head: np.ndarray, value: np.ndarray, size: np.ndarray) -> bytes:
-    """The bits of ``head``, then of the values (at most 56 bits each), least significant first."""
-    ends = len(head) + np.cumsum(size)
+        values |= more << ends
+        ends += bits
+    value[copies], size[copies] = values, ends
+    return _packed([out.array() for out in heads], value.astype(np.uint64), size, tokens)
+
+
+def _packed(heads: list[np.ndarray], value: np.ndarray, size: np.ndarray, tokens: np.ndarray) -> list[bytes]:
+    """The bits of each head, then of its share of the values (at most 56 bits each), least significant first. tokens: the
+    number of values of each, 1 at least."""
+    head, ends = np.array([len(v) for v in heads]), np.cumsum(size)
+    last = ends[np.cumsum(tokens) - 1]
+    before = np.concatenate([[0], last[:-1]])
+    bits = head + last - before
+    words = bits + 63 >> 6  # each begins with a word of its own
+    start = np.cumsum(words) - words
+    ends += np.repeat(64 * start + head - before, tokens)
     begin = ends - size
-    value, place, n = value << (begin & 7).astype(np.uint64), begin >> 3, int(ends[-1] + 7) >> 3
-    out = np.zeros(n + 8)
-    for k in range((int(size.max()) + 14) >> 3):  # the bits of no two values meet, so sums are unions
-        if k == 3:  # few tokens are longer
-            long = np.flatnonzero(size > 17)
-            place, value = place[long], value[long]
-        out += np.bincount(place + k, (value >> np.uint64(8 * k)) & np.uint64(255), n + 8)
-    out[: (len(head) + 7) >> 3] += np.packbits(head, bitorder="little")
-    return out[:n].astype(np.uint8).tobytes()
+    out = np.zeros(int(words.sum()) + 1, "<u8")
+    whole = out.view(np.uint8)
+    for v, a in zip(heads, (8 * start).tolist(), strict=True):
+        v = np.packbits(v, bitorder="little")
+        whole[a : a + len(v)] = v
+    word, shift = begin >> 6, (begin & 63).astype(np.uint64)
+    firsts = np.concatenate([[0], np.flatnonzero(word[1:] != word[:-1]) + 1])
+    out[word[firsts]] |= np.bitwise_or.reduceat(value << shift, firsts)
+    over = np.flatnonzero((ends >> 6 > word) & (shift > 0))  # the last value of a word may end in the next one
+    out[word[over] + 1] |= value[over] >> (np.uint64(64) - shift[over])
+    return [whole[a : a + b].tobytes() for a, b in zip((8 * start).tolist(), (bits + 7 >> 3).tolist(), strict=True)]
 
 
 def padded(n: int) -> int:
@@ -856,19 +1020,44 @@ def padded(n: int) -> int:
     return max(64, -(-n // 64) * 64)
 
 
+#: Bytes of files that are read together, and of payloads whose images are made together.
+READ_TOGETHER, TOGETHER = 1 << 13, 1 << 15
+
+
 def store(payload: np.ndarray) -> bytes:
     """A payload (bytes, a positive multiple of 64) as grey images."""
-    return b"".join(_image(payload[a : a + 64 * SIDE]) for a in range(0, len(payload), 64 * SIDE))
+    return store_all([payload])[0]
+
+
+def store_all(payloads: list[np.ndarray]) -> list[bytes]:
+    """``store`` of each payload."""
+    parts = [(k, p[a : a + 64 * SIDE]) for k, p in enumerate(payloads) for a in range(0, len(p), 64 * SIDE)]
+    out: list[list[bytes]] = [[] for _ in payloads]
+    for i, j in flat.pieces_of(np.cumsum([0, *(len(p) for _, p in parts)]), TOGETHER):
+        for (k, _), file in zip(parts[i:j], _images([p for _, p in parts[i:j]]), strict=True):
+            out[k].append(file)
+    return [b"".join(files) for files in out]
 
 
 def load(media: bytes, n: int) -> np.ndarray:
     """The payload of n bytes that ``store`` has kept."""
-    out, at = [], 0
-    while at < len(media):
-        end = at + 8 + struct.unpack("<I", media[at + 4 : at + 8])[0]
-        out.append(((decode(media[at:end]) >> 8) & 0xFF).astype(np.uint8).ravel())
-        at = end
-    return (out[0] if len(out) == 1 else np.concatenate(out))[:n]
+    return load_all([media], [n])[0]
+
+
+def load_all(media: list[bytes], sizes: list[int]) -> list[np.ndarray]:
+    """``load`` of each."""
+    files: list[tuple[int, bytes]] = []
+    for k, data in enumerate(media):
+        at = 0
+        while at < len(data):
+            end = at + 8 + struct.unpack("<I", data[at + 4 : at + 8])[0]
+            files.append((k, data[at:end]))
+            at = end
+    out: list[list[np.ndarray]] = [[] for _ in media]
+    for i, j in flat.pieces_of(np.cumsum([0, *(len(data) for _, data in files)]), WINDOW):
+        for (k, _), pixels in zip(files[i:j], decode_all([data for _, data in files[i:j]]), strict=True):
+            out[k].append(((pixels >> 8) & 0xFF).astype(np.uint8).ravel())
+    return [(parts[0] if len(parts) == 1 else np.concatenate(parts))[:n] for parts, n in zip(out, sizes, strict=True)]
 
 
 def feature(payload: np.ndarray) -> str:
@@ -885,12 +1074,12 @@ def stored(docs: DataFrame) -> DataFrame:
         for batch in batches:
             data, offsets = flat.texts_of(batch.column("text"))
             for i, j in flat.pieces_of(offsets, 8 * flat.CHUNK):
-                media = []
+                payloads = []
                 for a, b in zip(offsets[i:j].tolist(), offsets[i + 1 : j + 1].tolist(), strict=True):
                     payload = np.zeros(padded(b - a), np.uint8)
                     payload[: b - a] = data[a:b]
-                    media.append(store(payload))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), pa.array(np.diff(offsets[i : j + 1])), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
+                    payloads.append(payload)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), pa.array(np.diff(offsets[i : j + 1])), pa.array(store_all(payloads), pa.binary())], ["doc_id", "n_bytes", "media"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_bytes bigint, media binary")
@@ -902,16 +1091,17 @@ def measured(media: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+        kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
         for batch in batches:
-            rows = []
-            for n, value in zip(batch.column("n_bytes").to_pylist(), batch.column("media"), strict=True):
-                own = value.as_py()
-                payload = load(own, padded(n))
-                raw = payload.tobytes()
-                rows.append((len(raw), hashlib.sha256(raw).hexdigest(), zlib.crc32(raw[-64:]), len(own), hashlib.sha256(own).hexdigest(), feature(payload)))
-            columns = list(zip(*rows, strict=True)) or [[]] * 6
-            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names)
+            sizes = [padded(n) for n in batch.column("n_bytes").to_pylist()]
+            for i, j in flat.pieces_of(np.cumsum([0, *sizes]), 8 * flat.CHUNK):
+                part, rows = batch.slice(i, j - i), []
+                media = part.column("media").to_pylist()
+                for own, payload in zip(media, load_all(media, sizes[i:j]), strict=True):
+                    raw = payload.tobytes()
+                    rows.append((len(raw), hashlib.sha256(raw).hexdigest(), zlib.crc32(raw[-64:]), len(own), hashlib.sha256(own).hexdigest(), feature(payload)))
+                columns = list(zip(*rows, strict=True))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("n_bytes"), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names)
 
     kind = media.schema["doc_id"].dataType.simpleString()
     return media.select("doc_id", "n_bytes", "media").mapInArrow(run, f"doc_id {kind}, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string")
